@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import exact_dedup, sharding
+from assayer.llm import exact_dedup, sharding, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the component that links of 3 bits or fewer make."""
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"), width=3, most=3)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the id that stays of its group of equal texts."""
     return exact_dedup.assign(_read(spark, sf_dir, "documents"), keep="largest")
@@ -34,6 +39,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op7_sharding": op7_sharding,
+    "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
