@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import exact_dedup, sharding, simhash
+from assayer.llm import doc_sketch, exact_dedup, packing, sharding, simhash, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, tokens across lines going to the line of their first byte."""
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), rule="first")
+
+
+def op6_doc_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sketch against that of its edited text and of the next document."""
+    return doc_sketch.fingerprint_edits(_read(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes, through virtual slots."""
     return sharding.shard(_read(spark, sf_dir, "documents"), n_shards=24).select(
@@ -27,6 +37,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of up to 2048 tokens."""
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), limit=2048)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the component that links of 3 bits or fewer make."""
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), width=3, most=3)
@@ -38,7 +53,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_token_counts": op5_token_counts,
+    "op6_doc_sketch": op6_doc_sketch,
     "op7_sharding": op7_sharding,
+    "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
