@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import doc_sketch, exact_dedup, packing, sharding, simhash, token_counts
+from assayer.llm import doc_sketch, exact_dedup, language_id, mixing, packing, sharding, simhash, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's language; the text model learns from ``documents``."""
+    model = language_id.train(_read(spark, sf_dir, "documents"))
+    pages = language_id.page_evidence(_read(spark, sf_dir, "pages"))
+    found = language_id.identify(pages, model, markup=True)
+    return found.withColumnRenamed("_id", "page_id").drop("_text_hash")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's domain posteriors, rate and copies under the default targets."""
+    return mixing.mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("_hash")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document, tokens across lines going to the line of their first byte."""
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), rule="first")
@@ -53,6 +66,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_mixing": op3_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_doc_sketch": op6_doc_sketch,
     "op7_sharding": op7_sharding,
