@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import doc_sketch, exact_dedup, language_id, mixing, packing, sharding, simhash, token_counts
+from assayer.llm import doc_sketch, exact_dedup, language_id, mixing, packing, sharding, simhash, token_counts, window_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("_hash")
 
 
+def op4_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 100-byte strings that also start earlier."""
+    return window_dedup.remove_repeats(_read(spark, sf_dir, "documents"), window=100).drop("kept")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document, tokens across lines going to the line of their first byte."""
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), rule="first")
@@ -68,6 +73,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_mixing": op3_mixing,
+    "op4_window_dedup": op4_window_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_doc_sketch": op6_doc_sketch,
     "op7_sharding": op7_sharding,
