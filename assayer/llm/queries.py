@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import doc_sketch, exact_dedup, language_id, mixing, packing, sharding, simhash, token_counts, window_dedup
+from assayer.llm import (
+    doc_sketch,
+    exact_dedup,
+    language_id,
+    lm_score,
+    mixing,
+    packing,
+    sharding,
+    simhash,
+    token_counts,
+    window_dedup,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +31,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("_id", "page_id").drop("_text_hash")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base and model scores."""
+    return lm_score.score(_read(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's domain posteriors, rate and copies under the default targets."""
     return mixing.mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("_hash")
@@ -72,6 +88,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_lm_score": op2_lm_score,
     "op3_mixing": op3_mixing,
     "op4_window_dedup": op4_window_dedup,
     "op5_token_counts": op5_token_counts,
