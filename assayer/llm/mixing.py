@@ -262,17 +262,20 @@ def mix(
     model = train(docs, labels, id_col, text_col, sample_rows=sample_rows)
     members = staged(memberships(docs, model, id_col, text_col), "members")
     steps = fit_rates(members, targets) if model else []
-    rate = F.lit(1.0)
-    for step in steps:
-        pull = sum((F.col("_p")[i] * float(step[i]) for i in range(len(DOMAINS))), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - pull)
+
+    def rated(batches):
+        for batch in batches:
+            rate = _rates(_posteriors(batch.column(3)), steps) if batch.num_rows else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*batch.schema.names, "rate"])
+
+    kind = members.schema["_id"].dataType.simpleString()
     near = F.round("rate")
     chance = F.pmod(F.xxhash64("_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     copies = F.when(F.abs(F.col("rate") - near) <= hold, near).otherwise(
         F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")
     )
     return (
-        members.withColumn("rate", rate)
+        members.mapInArrow(rated, f"_id {kind}, _hash long, _tokens long, _p array<double>, rate double")
         .withColumn("copies", copies.cast("int"))
         .select(
             F.col("_id").alias(id_col),
