@@ -31,6 +31,8 @@ from assayer.llm.staging import staged
 
 DOMAINS = ("low", "toxic", "good")
 TARGETS = {"low": 0.04, "toxic": 0.005, "good": 0.955}
+#: The chi-squared statistic (2 degrees) above which a word is taken to tell domains apart.
+TELLING = 20.0
 _MARK = re.compile(r"[^\w\s.,;:!?'\"()-]")
 
 
@@ -122,7 +124,8 @@ def train(
         q = float(sizes[i] / sizes.sum())
         hope = (F.col("n0") + F.col("n1") + F.col("n2")) * q
         score = score + F.pow(F.col(f"n{i}") - hope, 2) / (hope + 1.0)
-    top = counted.filter("w <> '' AND n0 + n1 + n2 >= 5").orderBy(F.desc(score), "w").limit(vocabulary).collect()
+    telling = counted.withColumn("score", score).filter(f"w <> '' AND n0 + n1 + n2 >= 5 AND score > {TELLING}")
+    top = telling.orderBy(F.desc("score"), "w").limit(vocabulary).collect()
     words = {r["w"]: i for i, r in enumerate(top)}
     plain = Classifier(words, np.zeros((1 + SHAPES + len(words), k)), np.array([[0.0] * SHAPES, [1.0] * SHAPES]))
 
@@ -153,7 +156,7 @@ def train(
         z = x @ w
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        g = x.T @ (p - y) / len(x) + 1e-5 * w
+        g = x.T @ (p - y) / len(x) + 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Classifier(words, w.astype(np.float64), scale)
