@@ -43,8 +43,8 @@ def fractions(c: Column) -> Column:
     """Vulgar fractions spelled out, set off from a digit before them."""
     signs = "".join(fixed.FRACTIONS)
     c = F.regexp_replace(c, rf"(?U)(?<=[\d{signs}])(?=[{signs}])", " ")
-    for sign, spelled in fixed.FRACTIONS.items():
-        c = F.replace(c, F.lit(sign), F.lit(spelled))
+    pairs = ", ".join(f"struct('{sign}' AS k, '{spelled}' AS v)" for sign, spelled in fixed.FRACTIONS.items())
+    c = F.aggregate(F.expr(f"array({pairs})"), c, lambda text, p: F.replace(text, p["k"], p["v"]))
     return F.replace(c, F.lit("⁄"), F.lit("/"))
 
 
@@ -106,7 +106,8 @@ def ingredient_key(c: Column) -> Column:
 
 def unit(c: Column) -> Column:
     """The canonical unit of a spelling, or null."""
-    table = F.create_map(*(F.lit(x) for name, spelled in fixed.UNITS.items() for s in spelled for x in (s, name)))
+    pairs = ", ".join(f"'{s}', '{name}'" for name, spelled in fixed.UNITS.items() for s in spelled)
+    table = F.expr(f"map({pairs})")
     return F.try_element_at(table, F.lower(strip(c)))
 
 
@@ -132,7 +133,7 @@ def bigram_overlap(a: Column, b: Column) -> Column:
 def lcs_ratio(a: Column, b: Column) -> Column:
     """Longest common subsequence of two token arrays over the longer one's length; 1 for two empty arrays."""
 
-    @F.udf("double", useArrow=True)
+    @F.udf(T.DoubleType(), useArrow=True)
     def ratio(x, y):
         if x is None or y is None:
             return None

@@ -61,7 +61,7 @@ def candidate_lines(responses: DataFrame, id_col: str = "attempt_id", text_col:
         & content
         & (headed | block | F.col("_marker") | F.col("_listed"))
     ).select(id_col, "line_no", "line")
-    found = parse_lines(kept, "line").filter("normalized_key IS NOT NULL")
+    found = parse_lines(kept, "line").filter("phrase IS NOT NULL")
     nth = Window.partitionBy(id_col).orderBy("line_no")
     found = found.withColumn("index", F.row_number().over(nth) - 1)
     return found.withColumn("quantity_fold", text.folded(F.col("quantity.raw"))).select(id_col, *CANDIDATE)
