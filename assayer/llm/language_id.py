@@ -39,12 +39,13 @@ CELLS = 1 << 16
 #: A text whose best mean log-probability of a trigram is below this is noise; even odds over all cells are -11.1.
 FLOOR = -10.0
 _TAG = re.compile(r"<!--|<(/?[a-zA-Z][a-zA-Z0-9]*)[^<>]*>")
+_NO_LETTER = re.compile(r"[\W\d_]+")
 _ASIDE = {"script", "style", "nav", "footer", "header", "aside", "noscript", "template"}
 
 
 def trigrams(text: str) -> np.ndarray:
-    """The text's hashed byte trigrams, lower-cased, white space folded."""
-    data = np.frombuffer(" ".join(["", *text.lower().split(), ""]).encode(), np.uint8).astype(np.uint32)
+    """The text's hashed byte trigrams, lower-cased; digits and marks, which no language owns, are as white space."""
+    data = np.frombuffer(_NO_LETTER.sub(" ", f" {text.lower()} ").encode(), np.uint8).astype(np.uint32)
     if data.size < 3:
         return np.empty(0, np.uint32)
     return ((data[:-2] << 16 | data[1:-1] << 8 | data[2:]) * np.uint32(2654435761)) >> np.uint32(16)
