@@ -68,6 +68,26 @@ def is_transient(status: Column, transport_error: Column) -> Column:
     return F.coalesce(status.isin(*TRANSIENT), F.lit(False)) | F.coalesce(transport_error, F.lit(False))
 
 
+def output_text(rows: DataFrame, raw: str = "raw") -> DataFrame:
+    """The rows with output: the text of whichever of an event's two shapes it has; both or neither fails the query."""
+    direct = F.try_variant_get(raw, "$.output_text", "string")
+    nested = F.try_variant_get(raw, "$.raw_response.choices[0].message.content", "string")
+    wrong = F.raise_error(F.lit("an event must have one output")).cast("string")
+    return rows.withColumn("output", F.when(direct.isNull() == nested.isNull(), wrong).otherwise(F.coalesce(direct, nested)))
+
+
+def with_generation(rows: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Attempts with generation metadata by generation_id; its error, or absence, is a value and not a failure.
+
+    metadata: generation_id, provider_name, metadata_error. The provider of the metadata goes before the response's.
+    """
+    joined = rows.join(metadata, "generation_id", "left")
+    missing = F.when(F.col("generation_id").isNotNull() & F.col("provider_name").isNull() & F.col("metadata_error").isNull(), "no metadata")
+    return joined.withColumns(
+        {"provider_actual": F.coalesce("provider_name", "provider_actual"), "metadata_error": F.coalesce("metadata_error", missing)}
+    )
+
+
 def with_retries(rows: DataFrame, case: str, order: list[str], attempt: str) -> DataFrame:
     """attempt_number, retry_of and backoff_s (2^(n-1) after attempt n) of each case's attempts."""
     over = Window.partitionBy(case).orderBy(*order)

@@ -95,3 +95,12 @@ def record_issues(df: DataFrame, records: str = "ingredient_records_json") -> Da
         complete = strict_boolean(F.col("is_complete"))
         found.append(_issue(df.filter(~complete.eqNullSafe(F.col("status") == "complete")), "status"))
     return reduce(DataFrame.union, found)
+
+
+def read_transcriptions(spark: SparkSession, path: str) -> DataFrame:
+    """(file, title, text) of fenced text blocks under second-level headings of Markdown files."""
+    pattern = r"(?m)^##[ \t]+([^\n]+)\n(?:(?!##|```)[^\n]*\n)*?```text\n([\s\S]*?)^```"
+    pages = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    titles, texts = (F.regexp_extract_all("value", F.lit(pattern), F.lit(i)) for i in (1, 2))
+    each = pages.select("file", F.explode(F.arrays_zip(titles.alias("title"), texts.alias("text"))).alias("x"))
+    return each.select("file", F.trim("x.title").alias("title"), F.rtrim("x.text", F.lit("\n")).alias("text"))

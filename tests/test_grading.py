@@ -149,3 +149,23 @@ def test_incomplete_references(spark):
     assert grade(responses, recipes, references, on_incomplete="drop").count() == 0
     with pytest.raises(Exception, match="incomplete reference"):
         grade(responses, recipes, references).collect()
+
+
+def test_audit(spark):
+    from assayer.operators import audit
+
+    def row(recipe, position, exact, quantity, key):
+        return (*ref(recipe, position, key, quantity), exact)
+
+    rows = [
+        row("ok", 1, "1 cup synthetic flour", "1 cup", "synthetic flour"),
+        row("ok", 2, "salt", None, "salt"),
+        row("bad", 1, "1 cup synthetic flour", "2 cups", "synthetic flour"),
+        row("bad", 2, "1 cup rye", "1 cup", "spelt berries"),
+        row("bad", 3, "Method", None, "nothing"),
+    ]
+    done = audit.audited(spark.createDataFrame(rows, REF + ", text_exact string")).cache()
+    found = sorted((r.recipe_id, r.position, r.kind) for r in audit.issues(done).collect())
+    assert found == [("bad", 1, "quantity_mismatch"), ("bad", 2, "identity_mismatch"), ("bad", 3, "unparseable_line")]
+    r = audit.summary(done).first()
+    assert (r.recipes, r.ingredients, r.identity_matches, r.populated_quantities, r.quantity_matches, r.perfect_recipes) == (2, 5, 3, 3, 2, 1)

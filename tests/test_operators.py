@@ -252,3 +252,20 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 5
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_outputs_and_generations(spark):
+    raw = ['{"output_text": "a"}', '{"raw_response": {"choices": [{"message": {"content": "b"}}]}}']
+    df = spark.createDataFrame([(r,) for r in raw], "r string").select(F.parse_json("r").alias("raw"))
+    assert [r.output for r in events.output_text(df).collect()] == ["a", "b"]
+    with pytest.raises(Exception, match="one output"):
+        events.output_text(spark.createDataFrame([("{}",)], "r string").select(F.parse_json("r").alias("raw"))).collect()
+    rows = spark.createDataFrame([("g1", "x"), ("g2", "y"), (None, "z")], "generation_id string, provider_actual string")
+    known = spark.createDataFrame([("g1", "Maker", None)], "generation_id string, provider_name string, metadata_error string")
+    got = values(events.with_generation(rows, known), "provider_actual", "metadata_error")
+    assert got == [("Maker", None), ("y", "no metadata"), ("z", None)]
+
+
+def test_transcriptions(spark, tmp_path):
+    (tmp_path / "book.md").write_text("# Book\n\n## One\n\nnote\n\n```text\n1 cup a\n\n2 b\n```\n\n## Two\n\n```text\nc\n```\n")
+    assert values(recipes.read_transcriptions(spark, str(tmp_path)), "title", "text") == [("One", "1 cup a\n\n2 b"), ("Two", "c")]
