@@ -10,6 +10,8 @@ them against.
 from __future__ import annotations
 
 import base64
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -50,7 +52,7 @@ class _Pieces(dict):
 class Encoder:
     """``ids`` gives a text's ids as little-endian uint32 bytes, ``lengths`` its tokens' UTF-8 bytes as uint16."""
 
-    def __init__(self, path: str, cache: int = 150_000):
+    def __init__(self, path: str, cache: int = 400_000):
         self.bpe = encoding(path)
         sizes = np.zeros(self.bpe.n_vocab, np.uint16)
         for i in range(MARK_ID):
@@ -60,11 +62,17 @@ class Encoder:
         self._ids = _Pieces(lambda piece: self._whole(" " + piece), cache)
         self._lengths = _Pieces(lambda piece: self._sizes(" " + piece), cache)
 
+    def _encode(self, text: str) -> list[int]:
+        return self.bpe.encode(text, allowed_special="all") if MARK in text else self.bpe.encode_ordinary(text)
+
     def _whole(self, text: str) -> bytes:
-        return np.array(self.bpe.encode(text, allowed_special="all"), "<u4").tobytes()
+        ids = array("I", self._encode(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _sizes(self, text: str) -> bytes:
-        return self.sizes[np.array(self.bpe.encode(text, allowed_special="all"), np.int64)].tobytes()
+        return self.sizes[np.array(self._encode(text), np.int64)].tobytes()
 
     @staticmethod
     def _plain(text: str) -> bool:
