@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.staging import staged
+from assayer.llm.staging import boxed, staged
 
 KEY = ("_digest", "_check", "_bytes")
 
@@ -104,11 +104,9 @@ def drop_copies(
         .select(F.col("_id").alias("_lost_id"), F.col("_digest").alias("_lost_digest"))
         .distinct()
     )
-    tagged = docs.select(*(F.col(f"`{c}`") for c in docs.columns), _identity(F.col(text_col))[0])
+    tagged = boxed(docs, _id=F.col(id_col), _digest=_identity(F.col(text_col))[0])
     left = tagged.join(
-        lost,
-        F.col(id_col).eqNullSafe(F.col("_lost_id")) & (F.col("_digest") == F.col("_lost_digest")),
-        "left_anti",
+        lost, F.col("_id").eqNullSafe(F.col("_lost_id")) & (F.col("_digest") == F.col("_lost_digest")), "left_anti"
     )
-    once = Window.partitionBy(id_col, "_digest").orderBy(F.lit(0))
-    return left.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").drop("_nth", "_digest")
+    once = Window.partitionBy("_id", "_digest").orderBy(F.lit(0))
+    return left.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").select("_row.*")

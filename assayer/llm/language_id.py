@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.staging import staged
+from assayer.llm.staging import boxed, staged
 
 CELLS = 1 << 16
 #: A text whose best mean log-probability of a trigram is below this is noise; even odds over all cells are -11.1.
@@ -292,8 +292,6 @@ def drop_rejected(
         .select(F.col("_id").alias("_lost"), F.col("_text_hash").alias("_lost_text"))
         .distinct()
     )
-    return docs.join(
-        lost,
-        F.col(id_col).eqNullSafe(F.col("_lost")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_lost_text")),
-        "left_anti",
-    )
+    rows = boxed(docs, _id=F.col(id_col), _hash=F.xxhash64(F.col(text_col).cast("string")))
+    same = F.col("_id").eqNullSafe(F.col("_lost")) & (F.col("_hash") == F.col("_lost_text"))
+    return rows.join(lost, same, "left_anti").select("_row.*")

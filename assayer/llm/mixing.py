@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.staging import staged
+from assayer.llm.staging import boxed, staged
 
 DOMAINS = ("low", "toxic", "good")
 TARGETS = {"low": 0.04, "toxic": 0.005, "good": 0.955}
@@ -80,9 +80,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sa
     known = known.filter(F.pmod(F.xxhash64("_k"), F.lit(parts)) < math.ceil(share * parts))
     domain = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 0, 0).otherwise(2)
     # The sample is bounded by its parameter, so a broadcast of its ids and labels is too.
-    return docs.join(F.broadcast(known), F.col(id_col) == F.col("_k")).select(
-        F.coalesce(F.col(text_col), F.lit("")).alias("t"), domain.alias("y")
-    )
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    return texts.join(F.broadcast(known), F.col("_id") == F.col("_k")).select("t", domain.alias("y"))
 
 
 def train(
@@ -296,10 +295,9 @@ def mixed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = (
         mix(docs, labels, id_col, text_col, **options)
         .filter("copies > 0")
-        .select(F.col(id_col).alias("_k"), "_hash", "copies")
-        .dropDuplicates(["_k", "_hash"])
+        .select(F.col(id_col).alias("_k"), F.col("_hash").alias("_h"), F.col("copies").alias("_copies"))
+        .dropDuplicates(["_k", "_h"])
     )
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_k")) & (F.xxhash64(text) == F.col("_hash")))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    rows = boxed(docs, _id=F.col(id_col), _hash=F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    joined = rows.join(chosen, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")))
+    return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.components import components
-from assayer.llm.staging import staged
+from assayer.llm.staging import boxed, staged
 
 BITS = 64
 SEGMENT = 32
@@ -178,10 +178,11 @@ def drop_near_duplicates(
         .select(F.col("_id").alias("_stays"))
         .distinct()
     )
-    once = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
+    once = Window.partitionBy("_id").orderBy("_hash")
     return (
-        docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi")
+        boxed(docs, _id=F.col(id_col), _hash=F.xxhash64(text_col))
+        .join(stay, F.col("_id").eqNullSafe(F.col("_stays")), "left_semi")
         .withColumn("_nth", F.row_number().over(once))
         .filter("_nth = 1")
-        .drop("_nth")
+        .select("_row.*")
     )

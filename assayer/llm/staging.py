@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -32,3 +33,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_root(df.sparkSession)}/assayer/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def boxed(docs: DataFrame, **named: Column) -> DataFrame:
+    """The rows as one column ``_row`` beside the named ones, so that no column of theirs clashes with another."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    return docs.select(whole, *(c.alias(name) for name, c in named.items()))

@@ -623,3 +623,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert counts[1] == set(range(10, 60)) | set(range(100, 110))
     assert counts[2] >= counts[3] == counts[4]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == counts[4]
+
+
+def test_filters_keep_columns_with_any_name(docs, spark):
+    names = ["_row", "_hash", "_digest", "_nth", "_copy", "copies", "_k", "_lost", "_stays", "_lost_id", "_fp", "quality", "toxic"]
+    odd = docs.withColumns({n: docs.n_chars for n in names}).filter("doc_id < 60")
+    labels = spark.createDataFrame([(i * 3, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    made = [
+        exact_dedup.drop_copies(odd),
+        simhash.drop_near_duplicates(odd),
+        language_id.drop_rejected(odd, language_id.train(odd)),
+        mixing.mixed(odd, labels),
+    ]
+    assert [m.columns for m in made] == [odd.columns] * 4
+    assert all(m.count() <= odd.count() for m in made[:3]) and made[3].count() > 0
+    for m in (exact_dedup.assign, sharding.shard, simhash.near_duplicates, packing.pack_documents, window_dedup.remove_repeats):
+        assert m(odd).count() >= odd.count()
