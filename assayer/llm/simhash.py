@@ -33,22 +33,30 @@ BITS = 64
 SEGMENT = 32
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
-    """The SimHash of a UTF-8 text's word shingles, as an unsigned integer."""
+def shingle_hashes(text: bytes, width: int, seed: int = 42) -> np.ndarray:
+    """The hash of each word shingle of a UTF-8 text; of one shorter than a shingle, that of its words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     if len(words) < width:
         shingles = [b" ".join(words)]
     else:
         shingles = list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
-    n = len(shingles)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(shingles))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as an unsigned integer."""
     votes = np.zeros(BITS, np.int64)
-    for i in range(0, n, 1 << 15):
+    for i in range(0, hashes.size, 1 << 15):
         part = hashes[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8)
         votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * votes > hashes.size, bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+    """The SimHash of a UTF-8 text's word shingles, as an unsigned integer."""
+    return majority(shingle_hashes(text, width, seed))
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = 3) -> DataFrame:
@@ -158,7 +166,12 @@ def near_duplicates(
 
 
 def _with_components(rows: DataFrame, most: int) -> DataFrame:
-    roots = components(links(rows, most)).select(F.col("node").alias("_fp"), F.col("root").alias("_root"))
+    return spread(rows, components(links(rows, most)))
+
+
+def spread(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows with _least, the smallest _id of their component; found has the components of _fp."""
+    roots = found.select(F.col("node").alias("_fp"), F.col("root").alias("_root"))
     own = rows.groupBy("_fp").agg(F.min("_id").alias("_least"))
     linked = own.join(roots, "_fp")
     least = linked.groupBy("_root").agg(F.min("_least").alias("_least"))
@@ -172,9 +185,13 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The input's rows and columns, one row for each component: that with the smallest id."""
     rows = staged(fingerprints(docs, id_col, text_col, width), "simhash")
+    return keep_least(docs, _with_components(rows, most), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The input's rows whose _id is the _least of their component."""
     stay = (
-        _with_components(rows, most)
-        .filter(F.col("_id").eqNullSafe(F.col("_least")))
+        named.filter(F.col("_id").eqNullSafe(F.col("_least")))
         .select(F.col("_id").alias("_stays"))
         .distinct()
     )

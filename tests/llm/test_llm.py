@@ -21,6 +21,7 @@ from assayer.llm import (
     mixing,
     packing,
     sharding,
+    similar,
     simhash,
     token_counts,
     window_dedup,
@@ -216,6 +217,49 @@ def test_simhash_links_find_all_close_fingerprints(spark):
     assert {x: find(x) for x in marks} == want
 
 
+def test_pipeline_drops_copies_at_similarity(spark):
+    """Edited copies at 0.8 to 0.97, beyond 3 bits of SimHash, go in the pipeline; texts below 0.8 stay. Some are of one large group."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+
+    def shingles(words):
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    def edited(words, k):
+        words = list(words)
+        for i in rng.sample(range(len(words)), k):
+            words[i] = f"new{rng.randrange(10**9)}"
+        return words
+
+    texts = []
+    for i in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(150, 300))]
+        texts += [base, edited(base, 1 + i % 9)]
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts += [edited(base, rng.randrange(1, 10)) for _ in range(30)] + [[], [], ["two", "words"]]
+    sets = [shingles(t) or ({tuple(t)} if t else set()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert kept.columns == df.columns
+    want = {find(i) for i in range(len(texts))}
+    assert 60 < len(want) < 110
+    assert {r.doc_id for r in kept.collect()} == want
+    assert similar.drop_similar(df.limit(0)).count() == 0
+
+
 # encoding, counts, packing
 
 
