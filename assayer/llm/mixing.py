@@ -254,12 +254,11 @@ def mix(
     *,
     targets: Mapping[str, float] = TARGETS,
     sample_rows: int = 8000,
-    hold: float = 0.25,
 ) -> DataFrame:
     """``id_col``, _hash, tokens, a posterior for each domain, rate and copies of every document.
 
-    copies is the rate rounded to a whole number: one within ``hold`` of it, else up or down by a hash of the id
-    with the fraction as its chance.
+    copies is the rate rounded up or down by a hash of the id with the fraction as its chance, so expected tokens
+    are those of the rates.
     """
     model = train(docs, labels, id_col, text_col, sample_rows=sample_rows)
     members = staged(memberships(docs, model, id_col, text_col), "members")
@@ -271,11 +270,8 @@ def mix(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*batch.schema.names, "rate"])
 
     kind = members.schema["_id"].dataType.simpleString()
-    near = F.round("rate")
     chance = F.pmod(F.xxhash64("_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.when(F.abs(F.col("rate") - near) <= hold, near).otherwise(
-        F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")
-    )
+    copies = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")
     return (
         members.mapInArrow(rated, f"_id {kind}, _hash long, _tokens long, _p array<double>, rate double")
         .withColumn("copies", copies.cast("int"))

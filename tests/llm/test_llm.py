@@ -584,6 +584,27 @@ def test_mixing_meets_targets_and_drops_toxic_text(spark):
     assert kept.columns == docs.columns and kept.count() == sum(copies.values())
 
 
+def test_mixing_copies_meet_targets(spark):
+    """Domains with fitted rates under 0.25 keep their share of tokens in the copies too."""
+    rng = random.Random(8)
+
+    def text(kind):
+        words = [f"w{rng.randrange(400)}" for _ in range(40)]
+        if kind == "toxic":
+            words[::5] = ["vile"] * len(words[::5])
+        return " ".join("junk" if kind == "low" and i % 2 else w for i, w in enumerate(words))
+
+    kinds = [rng.choice(["good", "low", "toxic"]) for _ in range(6000)]
+    docs = spark.createDataFrame([(i, text(k)) for i, k in enumerate(kinds)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k != "low"), int(k == "toxic")) for i, k in enumerate(kinds[:900])], "doc_id long, quality int, toxic int")
+    rows = mixing.mix(docs, labels, targets={"low": 0.13, "toxic": 0.07, "good": 0.8}).collect()
+    post = np.array([[r.p_low, r.p_toxic, r.p_good] for r in rows])
+    tokens, rate, copies = (np.array([r[c] for r in rows], float) for c in ("tokens", "rate", "copies"))
+    assert (rate < 0.25).sum() > 3000 and (np.abs(copies - rate) < 1).all()
+    made = (tokens * copies) @ post
+    assert np.abs(made / made.sum() - [0.13, 0.07, 0.8]).max() < 0.02
+
+
 def test_rates_by_projected_gradient(spark):
     rng = np.random.default_rng(2)
     p = rng.dirichlet([0.3, 0.3, 0.3], 400)
