@@ -216,7 +216,7 @@ def grade_responses(spark, sf_dir):
     from assayer.operators.grading import grade
 
     parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size")
-    lines = read(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
     nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     lines = lines.join(parts, "l_partkey").withColumn("position", nth)
     amount = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" cups"))

@@ -169,3 +169,16 @@ def test_audit(spark):
     assert found == [("bad", 1, "quantity_mismatch"), ("bad", 2, "identity_mismatch"), ("bad", 3, "unparseable_line")]
     r = audit.summary(done).first()
     assert (r.recipes, r.ingredients, r.identity_matches, r.populated_quantities, r.quantity_matches, r.perfect_recipes) == (2, 5, 3, 3, 2, 1)
+
+
+def test_grade_responses_grades_every_order(spark, tmp_path):
+    """Orders of every key have a row, whatever the key's remainder by 20."""
+    from assayer.plans.runs import grade_responses
+
+    keys = [1, 2, 20, 21, 39]
+    lines = [(k, n, 1 + (k + n) % 3, 1, 2.0 + n, "N") for k in keys for n in range(1, 4)]
+    parts = [(i, name, 10 * i) for i, name in ((1, "green beans"), (2, "brown rice"), (3, "white sugar"))]
+    columns = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string"
+    spark.createDataFrame(lines, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted(r.attempt_id for r in grade_responses(spark, str(tmp_path)).collect()) == keys
