@@ -3,21 +3,24 @@
 A classifier trained on the labelled table gives each document a posterior over domains (here: low quality,
 toxic, good). Expected tokens of domain k under rates r are sum(tokens * posterior_k * r); projected-gradient
 least squares looks for rates r >= 0, from r = 1, whose expected totals match the targets. An iteration is one
-distributed sum of as many numbers as there are domains; a document's rate follows from the residuals so far,
-so rates are never shipped. Steps are scaled by domain, which makes one step exact for hard posteriors.
+distributed sum of as many numbers as there are domains; a document's rate follows from the steps so far, so
+rates are never shipped. Steps are scaled by the posteriors' second moments, gather momentum, and go on until the
+totals match.
 
 The classifier is fitted on about ``sample_rows`` labelled rows (a share by hash of the id, whole texts), its
 one sample; all documents are scored, and all totals cover all documents.
 
-Defined results: a null text equals the empty one: no tokens, rate 1. Labels that repeat an id or have nulls are
-used as they stand, or dropped where a label is null. Rows with equal id get the same rate if their texts are
-equal. An empty table gives an empty table; without labels, every rate is 1.
+Defined results: a null text equals the empty one: no tokens, a posterior from its form alone, and the rate that
+follows from it. Labels that repeat an id are used as they stand, those with a null label are dropped. Rows with
+equal id get the same rate if their texts are equal. An empty table gives an empty table; without labels, every rate
+is 1.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import warnings
 from collections import Counter
 from collections.abc import Mapping
 from dataclasses import dataclass
@@ -189,61 +192,83 @@ def memberships(docs: DataFrame, model: Classifier | None, id_col: str, text_col
     return rows.mapInArrow(each, f"_id {kind}, _hash long, _tokens long, _p array<double>")
 
 
-def _rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    r = np.ones(len(p))
-    for step in steps:
-        r = np.maximum(0.0, r - p @ step)
-    return r
+def _rates(p: np.ndarray, steps: list[tuple[float, np.ndarray]]) -> np.ndarray:
+    """Rates after the steps: each goes on by its share of the last move, then against the gradient, not below 0."""
+    rate = before = np.ones(len(p))
+    for momentum, step in steps:
+        ahead = rate + momentum * (rate - before)
+        before, rate = rate, np.maximum(0.0, ahead - p @ step)
+    return rate
 
 
 def _posteriors(column) -> np.ndarray:
     return column.values.to_numpy(zero_copy_only=False).reshape(-1, len(DOMAINS))
 
 
-def fit_rates(members: DataFrame, targets: Mapping[str, float], *, rounds: int = 40, tolerance: float = 1e-3) -> list[np.ndarray]:
+class TargetsNotMet(UserWarning):
+    """The fit ended at rates whose shares are not the targets."""
+
+
+def fit_rates(
+    members: DataFrame, targets: Mapping[str, float], *, rounds: int = 400, tolerance: float = 1e-3
+) -> list[tuple[float, np.ndarray]]:
     """The steps that lead every document from rate 1 to its rate.
 
-    The targets are shares; the total is such that the largest target's domain keeps its tokens.
+    The targets are shares; the total is such that the largest target's domain keeps its tokens. The fit ends where
+    the totals are within ``tolerance`` of what is wanted, as a share of all of it. Where targets are out of reach (no
+    document may belong to a domain), it ends when residuals have stopped falling, or after ``rounds``, and says so
+    by the warning ``TargetsNotMet`` with the shares reached.
     """
     k = len(DOMAINS)
     goal = np.array([targets[d] for d in DOMAINS], float)
     goal /= goal.sum()
 
-    def totals(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        def each(batches):
-            held, full = np.zeros(k), np.zeros(k)
-            for batch in batches:
-                p = _posteriors(batch.column(1))
-                tokens = batch.column(0).to_numpy().astype(float)
-                full += tokens @ p
-                held += (tokens * _rates(p, steps)) @ p
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(k)), pa.array(held), pa.array(full)], ["k", "held", "full"]
-            )
-
-        sums = np.zeros((k, 2))
-        found = members.select("_tokens", "_p").mapInArrow(each, "k long, held double, full double")
-        for r in found.groupBy("k").agg(F.sum("held").alias("held"), F.sum("full").alias("full")).collect():
-            sums[r["k"]] = r["held"], r["full"]
-        return sums[:, 0], sums[:, 1]
+    def summed(each, size: int) -> np.ndarray:
+        """The sum over all batches of what ``each`` makes of tokens and posteriors."""
 
-    steps: list[np.ndarray] = []
-    best: list[np.ndarray] = []
-    least = math.inf
+        def of(batches):
+            sums = np.zeros(size)
+            for batch in batches:
+                sums += each(batch.column(0).to_numpy().astype(float), _posteriors(batch.column(1))).reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(sums)], ["at", "x"])
+
+        sums = np.zeros(size)
+        found = members.select("_tokens", "_p").mapInArrow(of, "at long, x double")
+        for r in found.groupBy("at").agg(F.sum("x").alias("x")).collect():
+            sums[r["at"]] = r["x"]
+        return sums
+
+    square = summed(lambda t, p: (p * t[:, None]).T @ p, k * k).reshape(k, k)
+    full = square.sum(axis=1)
+    if not full.sum():
+        return []
+    main = int(goal.argmax())
+    want = goal / goal[main] * full[main]
+    # In this scale a step can't overshoot, whatever the posteriors; the ridge is for domains without tokens.
+    scale = np.linalg.inv(square + 1e-9 * np.trace(square) / k * np.eye(k))
+
+    def error(off: np.ndarray) -> float:
+        return float(np.abs(off).sum() / want.sum())
+
+    steps: list[tuple[float, np.ndarray]] = []
+    off = before = full - want
+    age, still = 1.0, 0
     for _ in range(rounds):
-        now, full = totals(steps)
-        if not full.sum():
-            return []
-        main = int(goal.argmax())
-        want = goal / goal[main] * full[main]
-        off = now - want
-        size = float(np.abs(off).sum() / want.sum())
-        if size < least:
-            least, best = size, list(steps)
-        if size < tolerance:
+        if error(off) < tolerance or still >= 20:
             break
-        steps.append(off / np.maximum(full, 1e-9))
-    return best
+        # Accelerated projected gradient; momentum starts anew when residuals rise.
+        older, age = age, (1 + math.sqrt(1 + 4 * age * age)) / 2
+        momentum = (older - 1) / age
+        steps.append((momentum, scale @ (off + momentum * (off - before))))
+        then = summed(lambda t, p: (t * _rates(p, steps)) @ p, k) - want
+        still = still + 1 if error(then) > error(off) * (1 - 1e-4) else 0
+        if then @ scale @ then > off @ scale @ off:
+            age = 1.0
+        before, off = off, then
+    if error(off) >= tolerance:
+        shares = (off + want) / (off + want).sum()
+        warnings.warn(f"shares {shares.round(4)} for targets {goal.round(4)}", TargetsNotMet, stacklevel=2)
+    return steps
 
 
 def mix(
