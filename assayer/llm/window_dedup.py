@@ -12,17 +12,24 @@ windows). A run whose context starts earlier elsewhere is repeated in all its wi
 is left are first runs whose anchor has other contexts too, at the edges of repeats. Digit 2 is the window
 itself, for these runs alone.
 
-Sorts are Spark's external sorts; a task streams through its groups and holds a batch and one row, so the size
-of a group does not matter. Digests are two 64-bit polynomial hashes of the bytes, with different bases and byte
-tables; two windows are taken as equal where all digits agree, 128 bits at least.
+Sorts are Spark's external sorts; a task streams through its groups and holds a batch and one row. Digests are
+64-bit polynomial hashes of the bytes, of two kinds with different bases and byte tables. Windows of digit 2 are
+equal where both kinds agree; contexts are where the anchor's hash of one kind and the context's of the other do,
+so that only contexts of one anchor can be mistaken for each other, by 64 bits.
+
+A passage that many documents share makes hot groups. Anchors with more than about one in 1,024 of all runs are
+found first, by a pass that adds up what is frequent in each block (``hot_anchors``; at most 2,048 are kept, with no
+bound on what each may hold). They are dealt by anchor and context instead of by anchor alone, and the first run of
+each of their contexts is left to digit 2 without asking for others. Before any shuffle, a task keeps the first of the equal contexts or windows
+that it has met; later ones are repeats whatever other tasks hold, and travel on as such, dealt by document.
 
 Documents are cut into blocks of ``BLOCK`` window starts for memory's sake; a run ends at a block's end, which
 changes what is left to digit 2 but not the result.
 
 Defined results: a null text equals the empty one; a text shorter than the window is never touched. Windows are
-ordered by (id, start); a null id is least. Rows that repeat an id are taken as one document's: an equal text
-at an equal id repeats nothing, and unequal texts at an equal id share what is found in either. An empty table
-gives an empty table.
+ordered by (id, start); a null id is least. Ids may be of any type that has an order. Rows of equal id and text are
+one document, which repeats nothing of itself but what starts earlier in it; unequal texts at one id are documents of
+their own, in the order of their texts' hashes. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.llm.staging import staged
 
@@ -154,44 +162,126 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def anchored(docs: DataFrame, window: int) -> DataFrame:
-    """(h, c, doc, loc): anchor hash, context hash, document, and start * 128 + windows - 1 of every run."""
+class _Firsts:
+    """The first place that a task has met of each key that it met twice in a buffer; forgets all when full."""
+
+    def __init__(self, most: int = 200_000):
+        self.most, self.held = most, {}
+        self.maybe = np.zeros(1 << 22, bool)  # by the low bits of a key held
+
+    def later(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray, loc: np.ndarray) -> np.ndarray:
+        """Rows before which this task has met the same key (a, b) at a smaller (doc, loc)."""
+        out = np.zeros(a.size, bool)
+        order = np.argsort(a, kind="stable")
+        twin = a[order][1:] == a[order][:-1]
+        some = order[np.r_[twin, False] | np.r_[False, twin] | self.maybe[a[order] & (self.maybe.size - 1)]] if a.size else order
+        if not some.size:
+            return out
+        some = some[np.lexsort((loc[some], doc[some], b[some], a[some]))]
+        a, b, doc, loc = a[some], b[some], doc[some], loc[some]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        size = np.diff(np.r_[first, a.size])
+        owner = np.repeat(first, size)
+        later = (doc != doc[owner]) | (loc != loc[owner])
+        if len(self.held) + first.size > self.most:
+            self.held.clear()
+            self.maybe[:] = False
+        for i, n, key in zip(first.tolist(), size.tolist(), zip(a[first].tolist(), b[first].tolist(), strict=True), strict=True):
+            at = (int(doc[i]), int(loc[i]))
+            before = self.held.get(key)
+            if before is not None and before < at:
+                later[i : i + n] = True
+            elif before is not None or n > 1:
+                self.held[key] = at
+                self.maybe[key[0] & (self.maybe.size - 1)] = True
+        out[some] = later
+        return out
+
+
+def hot_anchors(docs: DataFrame, window: int, share: int = 1024) -> np.ndarray:
+    """Anchor hashes with more than one in ``share`` of all runs; at most twice ``share`` of them.
+
+    What makes less than one in 4 x ``share`` of a block's runs is left out of that block's sums, so the sums are
+    short by no more than that part of all runs.
+    """
 
     def each(batches):
         hasher = Hasher(BLOCK + 2 * window)
+        for batch in batches:
+            for data, where in _blocks(_bytes(batch.column(0)), window):
+                hasher.load(np.frombuffer(data, np.uint8), (0,))
+                _, _, gram, _ = runs(hasher, [(a, b) for _, _, a, b in where], window)
+                which, n = np.unique(gram, return_counts=True)
+                often = n * 4 * share >= gram.size
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.r_[which[often].view(np.int64), np.int64(0)]),
+                        pa.array(np.r_[n[often], 0].astype(np.int64)),
+                        pa.array(np.r_[np.zeros(often.sum(), np.int64), gram.size]),
+                    ],
+                    ["h", "n", "rows"],
+                )
+
+    sums = staged(
+        docs.select("_text").mapInArrow(each, "h long, n long, rows long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")),
+        "anchors",
+    )
+    total = sums.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    hot = sums.filter(F.col("n") * (2 * share) > total).select("h").collect()
+    return np.array(sorted(r["h"] for r in hot), np.int64)
+
+
+def anchored(docs: DataFrame, window: int, hot: np.ndarray) -> DataFrame:
+    """(h, c, doc, loc, known) of every run.
+
+    Anchor hash, context hash, document, start * 128 + windows - 1, and whether the run is known to be a repeat.
+    """
+
+    def each(batches):
+        hasher, firsts = Hasher(BLOCK + 2 * window), _Firsts()
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for first, length, gram, place, doc, at in _loaded(_bytes(batch.column(1)), window, hasher):
                 context = hasher.of(1, first, first + length - 1 + window)
                 context = context + (length * 128 + place).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(gram), _signed(context), pa.array(ids[doc]), pa.array(at * 128 + length - 1)],
-                    ["h", "c", "doc", "loc"],
-                )
+                h, c, doc, loc = gram.view(np.int64), context.view(np.int64), ids[doc], at * 128 + length - 1
+                known = np.zeros(h.size, bool)
+                some = np.flatnonzero(np.isin(h, hot))
+                known[some] = firsts.later(h[some], c[some], doc[some], loc[some])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, doc, loc, known)], ["h", "c", "doc", "loc", "known"])
 
-    return docs.mapInArrow(each, "h long, c long, doc long, loc long")
+    return docs.select("_doc", "_text").mapInArrow(each, "h long, c long, doc long, loc long, known boolean")
 
 
 def _streamed(batches, columns: int):
     """Batches as tuples of arrays, without empty ones."""
     for batch in batches:
         if batch.num_rows:
-            yield tuple(batch.column(i).to_numpy() for i in range(columns))
+            yield tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns))
 
 
-def sort_runs(rows: DataFrame) -> DataFrame:
+def sort_runs(rows: DataFrame, hot: np.ndarray) -> DataFrame:
     """Digits 0 and 1. (doc, loc, whole): runs repeated as a whole, and first runs left to digit 2."""
 
     def each(batches):
         held = None  # the row before, whether its anchor's first run is still to be told, and that run
-        for h, c, doc, loc in _streamed(batches, 4):
+        for h, c, doc, loc, known in _streamed(batches, 5):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc[known]), pa.array(loc[known]), pa.array(known[known])], ["doc", "loc", "whole"]
+            )
+            h, c, doc, loc = (x[~known] for x in (h, c, doc, loc))
+            if not h.size:
+                continue
             same_h = np.r_[held is not None and held["h"] == h[0], h[1:] == h[:-1]]
             same_c = same_h & np.r_[held is not None and held["c"] == c[0], c[1:] == c[:-1]]
+            # Contexts of a hot anchor are not together; the first run of each is left to digit 2.
+            hot_row = np.isin(h, hot)
+            same_h &= same_c | ~hot_row
             again = same_c & np.r_[
                 held is not None and (held["doc"], held["loc"]) == (doc[0], loc[0]),
                 (doc[1:] == doc[:-1]) & (loc[1:] == loc[:-1]),
             ]
-            later = same_h & ~same_c  # first runs after their anchor's first
+            later = (same_h | hot_row) & ~same_c  # first runs after their anchor's first, or of a hot anchor
             out_doc, out_loc, out_whole = [doc[later]], [loc[later]], [np.zeros(later.sum(), bool)]
             # A row that repeats a (document, place) just seen is that row again. The first run of a context
             # owns it; a row is repeated if it is not at its owner's place.
@@ -205,7 +295,7 @@ def sort_runs(rows: DataFrame) -> DataFrame:
             out_whole.append(np.ones(repeated.sum(), bool))
             # The first run of an anchor is left to digit 2 if another context follows.
             start_h = np.flatnonzero(~same_h)
-            group = np.searchsorted(start_h, np.flatnonzero(later), "right") - 1
+            group = np.searchsorted(start_h, np.flatnonzero(same_h & ~same_c), "right") - 1
             if held and held["first"] is not None and (group < 0).any():
                 out_doc.append(np.array([held["first"][0]]))
                 out_loc.append(np.array([held["first"][1]]))
@@ -225,18 +315,23 @@ def sort_runs(rows: DataFrame) -> DataFrame:
                 [pa.array(np.concatenate(x)) for x in (out_doc, out_loc, out_whole)], ["doc", "loc", "whole"]
             )
 
+    deal = F.when(F.col("known"), F.xxhash64("doc", "loc"))
+    if hot.size:
+        deal = deal.when(F.col("h").isin(hot.tolist()), F.xxhash64("h", "c"))
     return (
-        rows.repartition("h").sortWithinPartitions("h", "c", "doc", "loc").mapInArrow(each, "doc long, loc long, whole boolean")
+        rows.repartition(deal.otherwise(F.col("h")))
+        .sortWithinPartitions("known", "h", "c", "doc", "loc")
+        .mapInArrow(each, "doc long, loc long, whole boolean")
     )
 
 
 def open_windows(docs: DataFrame, left: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, doc, start): every window of the runs that are left."""
+    """(w1, w2, doc, start, known): every window of the runs that are left."""
     picked = left.groupBy("doc").agg(F.collect_set("loc").alias("locs"))
     joined = docs.join(picked, docs["_doc"] == picked["doc"]).select("_doc", "_text", "locs")
 
     def each(batches):
-        hasher = Hasher(BLOCK + 2 * window)
+        hasher, firsts = Hasher(BLOCK + 2 * window), _Firsts()
         for batch in batches:
             ids = batch.column(0).to_numpy()
             lists = batch.column(2)
@@ -253,17 +348,12 @@ def open_windows(docs: DataFrame, left: DataFrame, window: int) -> DataFrame:
                 n = length[pick]
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 begin = np.repeat(first[pick], n) + step
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        _signed(hasher.of(0, begin, begin + window)),
-                        _signed(hasher.of(1, begin, begin + window)),
-                        pa.array(ids[np.repeat(doc[pick], n)]),
-                        pa.array(np.repeat(at[pick], n) + step),
-                    ],
-                    ["w1", "w2", "doc", "start"],
-                )
+                w1, w2 = (hasher.of(i, begin, begin + window).view(np.int64) for i in (0, 1))
+                doc, start = ids[np.repeat(doc[pick], n)], np.repeat(at[pick], n) + step
+                known = firsts.later(w1, w2, doc, start)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w1, w2, doc, start, known)], ["w1", "w2", "doc", "start", "known"])
 
-    return joined.mapInArrow(each, "w1 long, w2 long, doc long, start long")
+    return joined.mapInArrow(each, "w1 long, w2 long, doc long, start long, known boolean")
 
 
 def sort_windows(rows: DataFrame) -> DataFrame:
@@ -271,7 +361,11 @@ def sort_windows(rows: DataFrame) -> DataFrame:
 
     def each(batches):
         held = None
-        for w1, w2, doc, start in _streamed(batches, 4):
+        for w1, w2, doc, start, known in _streamed(batches, 5):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array(start[known] * 128)], ["doc", "loc"])
+            w1, w2, doc, start = (x[~known] for x in (w1, w2, doc, start))
+            if not w1.size:
+                continue
             same = np.r_[held is not None and held[:2] == (w1[0], w2[0]), (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])]
             firsts = np.flatnonzero(~same)
             owner = np.searchsorted(firsts, np.arange(w1.size), "right")
@@ -282,10 +376,35 @@ def sort_windows(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc[repeated]), pa.array(start[repeated] * 128)], ["doc", "loc"])
 
     return (
-        rows.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "doc", "start").mapInArrow(each, "doc long, loc long")
+        rows.repartition(F.when(F.col("known"), F.xxhash64("doc", "start")).otherwise(F.xxhash64("w1", "w2")))
+        .sortWithinPartitions("known", "w1", "w2", "doc", "start")
+        .mapInArrow(each, "doc long, loc long")
     )
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _doc, _text): _doc numbers documents in the order of their ids, and equal rows alike.
+
+    An integral id that names one text only is its own number. Otherwise ids and texts' hashes are sorted over the
+    cluster and numbered by partition and place.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
+    whole = isinstance(rows.schema["_id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    least = -(1 << 63)
+    if whole:
+        hashes = rows.groupBy("_id").agg(F.min(F.xxhash64("_text")).alias("a"), F.max(F.xxhash64("_text")).alias("b"))
+        if hashes.filter(f"a <> b OR _id = {least}L").isEmpty():
+            return rows.select("_id", F.coalesce(F.col("_id").cast("long"), F.lit(least)).alias("_doc"), "_text")
+    names = rows.select(F.struct("_id", F.xxhash64("_text").alias("_hash")).alias("_name")).distinct()
+    order = [F.col("_name._id").asc_nulls_first(), F.col("_name._hash")]
+    numbers = staged(
+        names.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_doc", F.monotonically_increasing_id()), "numbers"
+    )
+    named = rows.withColumn("_name", F.struct("_id", F.xxhash64("_text").alias("_hash")))
+    return staged(named.join(numbers, "_name").select("_id", "_doc", "_text"), "numbered")
+
+
 def spans(locs: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Maximal covered stretches of the windows that the runs hold."""
     found: list[list[int]] = []
@@ -298,22 +417,24 @@ def spans(locs: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 100) -> DataFrame:
-    """A row for each input row: ``id_col``, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left)."""
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 100, hot_share: int = 1024
+) -> DataFrame:
+    """A row for each input row: ``id_col``, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left).
+
+    An anchor with more than one in ``hot_share`` of all runs is dealt by its contexts.
+    """
     if not GRAM < window <= GRAM + 127:
         raise ValueError(f"the window must have {GRAM + 1} to {GRAM + 127} bytes")
-    least = -(1 << 63)
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("_doc"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"),
-    )
-    sorted_runs = staged(sort_runs(anchored(rows, window)), "runs")
+    rows = numbered(docs, id_col, text_col)
+    hot = hot_anchors(rows, window, hot_share)
+    sorted_runs = staged(sort_runs(anchored(rows, window, hot), hot), "runs")
     left = sorted_runs.filter("NOT whole").select("doc", "loc")
     found = staged(sort_windows(open_windows(rows, left, window)), "windows")
     flags = (
         sorted_runs.filter("whole").select("doc", "loc").union(found).groupBy("doc").agg(F.collect_set("loc").alias("locs"))
     )
-    joined = rows.join(flags, rows["_doc"] == flags["doc"], "left").select("_doc", "_text", "locs")
+    joined = rows.join(flags, rows["_doc"] == flags["doc"], "left").select("_id", "_text", "locs")
 
     def each(batches):
         for batch in batches:
@@ -341,12 +462,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     pa.array(digest, pa.string()),
                     pa.array(kept, pa.binary()),
                 ],
-                ["_doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    made = joined.mapInArrow(
-        each, "_doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    )
-    return made.select(
-        F.when(F.col("_doc") != least, F.col("_doc")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"
-    )
+    kind = rows.schema["_id"].dataType.simpleString()
+    return joined.mapInArrow(
+        each, f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    ).withColumnRenamed("_id", id_col)

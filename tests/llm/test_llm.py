@@ -434,10 +434,12 @@ def _plain_windows(texts, window):
     return out
 
 
-def test_window_dedup(docs):
+@pytest.mark.parametrize("hot_share", [1024, 1])
+def test_window_dedup(docs, hot_share):
+    """With few runs nearly all anchors are hot at the default; at 1 none is."""
     order = sorted(TEXT)
     want = dict(zip(order, _plain_windows([TEXT[i].encode() for i in order], 100), strict=True))
-    got = _by_id(window_dedup.remove_repeats(docs))
+    got = _by_id(window_dedup.remove_repeats(docs, hot_share=hot_share))
     assert len(got) == len(order)
     for i in order:
         r, (n, removed, spans, kept) = got[i], want[i]
@@ -445,6 +447,36 @@ def test_window_dedup(docs):
         assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_window_dedup_by_id_and_text(spark, kind):
+    """Unequal texts at one id are documents of their own; equal rows are one; ids may be strings or null."""
+    rng = random.Random(10)
+    b, c, d = ("".join(rng.choice("abcdefgh") for _ in range(200)) for _ in range(3))
+    ids = ["1", "2", "2", "2", "10", None, "3"]
+    texts = [b, b, c, c, b[:150] + d, d[:120], c[50:]]
+    rows = [(i if i is None or kind == "string" else int(i), t) for i, t in zip(ids, texts, strict=True)]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
+    out = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in window_dedup.remove_repeats(df).collect())
+    # A null id is least, then ids in their order; as strings "10" comes before "2".
+    want = [("None", 120, 0), ("1", 200, 0), ("2", 200, 200), ("2", 200, 0), ("2", 200, 0), ("3", 150, 150), ("10", 350, 150 + 120)]
+    assert out == sorted(want)
+
+
+def test_window_dedup_of_a_passage_in_many_documents(spark):
+    """A passage with its own surroundings in each document, and many copies of one text, by either way of dealing."""
+    rng = random.Random(11)
+    words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{i}" for i in range(300)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage, copy = prose(45), prose(70)
+    texts = [prose(rng.randrange(5, 30)) + " " + passage + " " + prose(rng.randrange(5, 30)) for _ in range(60)] + [copy] * 40
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    want = _plain_windows([t.encode() for t in texts], 100)
+    for share in (1024, 20, 1):
+        got = _by_id(window_dedup.remove_repeats(df, hot_share=share))
+        assert [(got[i].n_removed, got[i].n_spans, got[i].kept) for i in range(100)] == [w[1:] for w in want]
+
+
 def test_window_dedup_across_blocks(spark, monkeypatch):
     rng = random.Random(8)
     text = "".join(rng.choice("abc") for _ in range(3000))
