@@ -189,16 +189,13 @@ def drop_near_duplicates(
 
 
 def keep_least(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The input's rows whose _id is the _least of their component."""
-    stay = (
-        named.filter(F.col("_id").eqNullSafe(F.col("_least")))
-        .select(F.col("_id").alias("_stays"))
-        .distinct()
-    )
-    once = Window.partitionBy("_id").orderBy("_hash")
+    """The input's rows whose _id is the _least of their component; of rows that share it, one of the least text hash."""
+    stay = named.filter(F.col("_id").eqNullSafe(F.col("_least"))).select(F.struct("_id").alias("_stays")).distinct()
+    # The window is over the join's own key, so rows are shuffled once.
+    once = Window.partitionBy("_name").orderBy("_hash")
     return (
-        boxed(docs, _id=F.col(id_col), _hash=F.xxhash64(text_col))
-        .join(stay, F.col("_id").eqNullSafe(F.col("_stays")), "left_semi")
+        boxed(docs, _name=F.struct(F.col(id_col).alias("_id")), _hash=F.xxhash64(text_col))
+        .join(stay, F.col("_name") == F.col("_stays"))
         .withColumn("_nth", F.row_number().over(once))
         .filter("_nth = 1")
         .select("_row.*")
