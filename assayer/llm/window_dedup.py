@@ -40,9 +40,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from assayer.llm.staging import staged
+from assayer.llm.staging import numbered, staged
 
 GRAM = 50
 BLOCK = 1 << 19
@@ -382,29 +381,6 @@ def sort_windows(rows: DataFrame) -> DataFrame:
     )
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _doc, _text): _doc numbers documents in the order of their ids, and equal rows alike.
-
-    An integral id that names one text only is its own number. Otherwise ids and texts' hashes are sorted over the
-    cluster and numbered by partition and place.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
-    whole = isinstance(rows.schema["_id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-    least = -(1 << 63)
-    if whole:
-        hashes = rows.groupBy("_id").agg(F.min(F.xxhash64("_text")).alias("a"), F.max(F.xxhash64("_text")).alias("b"))
-        if hashes.filter(f"a <> b OR _id = {least}L").isEmpty():
-            return rows.select("_id", F.coalesce(F.col("_id").cast("long"), F.lit(least)).alias("_doc"), "_text")
-    names = rows.select(F.struct("_id", F.xxhash64("_text").alias("_hash")).alias("_name")).distinct()
-    order = [F.col("_name._id").asc_nulls_first(), F.col("_name._hash")]
-    numbers = staged(
-        names.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_doc", F.monotonically_increasing_id()), "numbers"
-    )
-    named = rows.withColumn("_name", F.struct("_id", F.xxhash64("_text").alias("_hash")))
-    return staged(named.join(numbers, "_name").select("_id", "_doc", "_text"), "numbered")
-
-
 def spans(locs: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Maximal covered stretches of the windows that the runs hold."""
     found: list[list[int]] = []

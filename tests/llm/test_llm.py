@@ -394,6 +394,9 @@ def test_sketch_likeness_is_that_of_the_parts(docs):
         new = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(new.encode()).hexdigest())
         assert r.near_edited == pytest.approx(near(text, new)) and r.near_next == pytest.approx(near(text, after))
+        lost, come = (set(np.array(x, np.int64).view(np.uint64).tolist()) for x in (r.edited_lost, r.edited_new))
+        before, now = set(doc_sketch.digests(text).tolist()), set(doc_sketch.digests(new).tolist())
+        assert (lost, come) == (before - now, now - before)
         marks[text].add(r.fingerprint)
         marks[new].add(r.edited_fingerprint)
     assert all(len(m) == 1 for m in marks.values())
@@ -405,18 +408,30 @@ def test_sketch_over_several_ranges(spark):
     seen = defaultdict(list)
     for part in ordered.rdd.glom().collect():
         for r in part:
-            seen[r._range].append((r._id, r._ahead))
+            seen[r._range].append((r._name, r._ahead))
     pairs = {a[0]: b[0] for held in seen.values() for a, b in zip(held, held[1:], strict=False) if not a[1]}
     order = sorted(r[0] for r in rows)
     assert len(seen) > 5 and pairs == dict(zip(order, order[1:] + order[:1], strict=True))
 
 
 def test_sketch_peels_large_differences():
+    """Fingerprints of 15 cells are subtracted, and larger sketches where those can't be peeled."""
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
     b = np.r_[a[:2000], rng.integers(0, 1 << 63, 2500, dtype=np.uint64)]
-    empty = np.empty(0, np.uint64)
-    assert doc_sketch.differences([(a, b), (a, a), (empty, empty), (empty, a[:3])]).tolist() == [5500, 0, 0, 3]
+    sets = [a, b, np.empty(0, np.uint64), a[:3], np.r_[a[1:], a[:1]]]
+    marks = doc_sketch.Sketches.of(sets).texts([len(s) for s in sets])
+    assert marks[0] == marks[4] and all(len(m) == len(marks[0]) for m in marks)
+    pairs = [(0, 1), (0, 0), (2, 2), (2, 3), (0, 4), (3, 0)]
+    for (i, j), (lost, new) in zip(pairs, doc_sketch.differences(marks, sets, pairs), strict=True):
+        assert lost.tolist() == np.setdiff1d(sets[i], sets[j]).tolist() and new.tolist() == np.setdiff1d(sets[j], sets[i]).tolist()
+
+
+def test_sketch_with_string_ids(spark):
+    rows = [("b", "one line\nand more"), ("a", "x"), (None, "first"), ("c", None)]
+    got = _by_id(doc_sketch.fingerprint_edits(spark.createDataFrame(rows, "doc_id string, text string")))
+    assert got[None].edited_sha256 == hashlib.sha256(b"firsx").hexdigest() and got["c"].near_edited == 1.0
+    assert got["b"].edited_sha256 == hashlib.sha256(b"one line\nand ").hexdigest()
 
 
 # repeated windows
