@@ -516,7 +516,7 @@ def test_lm_score_base_and_model(docs):
     c = Counter(w for i, ts in tokens.items() if not out[i] for w in ts)
     total = sum(c.values())
     for hot in (131_072, 8):
-        got = _by_id(lm_score.score(docs, hot_words=hot, pair_words=8, blocks=4))
+        got = _by_id(lm_score.score(docs, hot_words=hot, most_pair_words=8, most_blocks=4))
         assert len(got) == len(TEXT)
         for i, ts in tokens.items():
             r = got[i]
@@ -532,7 +532,9 @@ def test_bloom_reads_counts_back():
     counts = np.maximum(1, (rng.pareto(1.0, 4000) * 2).astype(np.int64))
     bloom = lm_score.Filter(1)
     none = np.empty(0, np.uint64)
-    bloom.data[:] = np.frombuffer(lm_score.build_block(words, counts, none, none, np.empty(0, np.int64), {}, 1), np.uint8)
+    made = lm_score.build_block(words, counts, none, none, np.empty(0, np.int64), {})
+    assert made["lost_words"] == 0 and made["worth"] == lm_score.WORTH[lm_score.level_of(counts)].sum()
+    bloom.data[:] = np.frombuffer(made["bits"], np.uint8)
     level = bloom.levels(lm_score.unit_keys(words), np.zeros(4000, np.int64))
     want = lm_score.level_of(counts)
     assert (level >= want).all() and (level == want).mean() > 0.9
@@ -540,6 +542,59 @@ def test_bloom_reads_counts_back():
     assert (bloom.levels(lm_score.unit_keys(other), np.zeros(4000, np.int64)) == 0).mean() > 0.9
 
 
+def _katz(lines, out):
+    """The model by dictionaries: P(word | context) with the counts that levels stand for."""
+    worth = lambda n: float(lm_score.WORTH[lm_score.level_of(np.array([n]))[0]])
+    unit, pair, before = Counter(), Counter(), Counter()
+    for i, words in lines.items():
+        if not out[i]:
+            unit.update([*words, b"\n"])
+            pair.update(zip([b"\r", *words], [*words, b"\n"], strict=True))
+    before.update(unit)
+    before[b"\r"] = unit[b"\n"]
+    mass = sum(worth(n) + 0.1 for n in unit.values()) + 0.1
+    alone = lambda w: (worth(unit[w]) + 0.1 if w in unit else 0.1) / mass
+    after = defaultdict(dict)
+    for (v, w), n in pair.items():
+        if n > 1:
+            after[v][w] = worth(n)
+
+    def p(w, v):
+        if v not in after:
+            return alone(w)
+        whole = max(before[v], sum(after[v].values()))
+        if w in after[v]:
+            return (after[v][w] - 0.5) / whole
+        left = 1 - sum(n - 0.5 for n in after[v].values()) / whole
+        return left / (1 - sum(alone(x) for x in after[v])) * alone(w)
+
+    return p, unit, after
+
+
+def test_lm_score_is_that_of_the_exact_model(spark):
+    """Against Katz back-off by dictionaries; chance hits of probes (one in 500 at full load) are few here."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(150)]
+    texts = {i: " ".join(rng.choices(words, weights=range(1, 151), k=rng.randrange(0, 60))) for i in range(500)}
+    got = _by_id(lm_score.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    lines = {i: t.encode().split() for i, t in texts.items()}
+    p, unit, after = _katz(lines, {i: got[i].held_out for i in texts})
+    for v in (b"\r", b"w149", b"w3", b"nowhere"):
+        # Over all words and one unseen.
+        assert sum(p(w, v) for w in [*unit, b"unseen"]) == pytest.approx(1, abs=1e-6)
+    assert len(after) > 100
+    off = [abs(got[i].score - sum(np.log10(p(w, v)) for v, w in zip([b"\r", *ws], [*ws, b"\n"], strict=True))) for i, ws in lines.items()]
+    assert np.mean(np.array(off) < 1e-6) > 0.95
+
+
+def test_lm_blocks_own_up_to_what_they_lose():
+    rng = np.random.default_rng(7)
+    words = rng.integers(1, 1 << 63, 20_000, dtype=np.uint64)
+    none = np.empty(0, np.uint64)
+    made = lm_score.build_block(words, np.arange(20_000) % 5 + 1, none, none, np.empty(0, np.int64), {})
+    assert 0 < made["lost_words"] < 20_000
+
+
 def test_lm_model_beats_base_on_held_out_text(spark):
     rng = random.Random(1)
     tongues = [[f"{p}{i}" for i in range(60)] for p in "ab"]
