@@ -6,13 +6,15 @@ For each row four kinds of evidence are added as log-probabilities of each langu
   in three trigrams;
 - declared markup language: P(declared | language), from grouped sums of text-only posteriors;
 - address suffix: P(language | suffix) over P(language), the same way, smoothed to the whole;
-- host prior: P(language | host), smoothed to its registered domain, and that to the whole, each by grouped
-  sums; a row's own share is taken out of the sums that judge it.
+- host prior: P(language | host), smoothed to its registered domain (the last two labels, or three under a country's
+  second level such as co.uk), and that to the whole, each by grouped sums.
 
-Sums by host, domain and suffix come from one grouped aggregation with partial sums, so a host with a third of
-all rows is no burden; nothing that grows with the input is collected or broadcast. The text model has
-``most_languages`` x 65,536 cells at most, and is trained on about ``sample_rows`` labelled rows (a share of
-them by hash of the id, whole texts), its one sample.
+A row's own share is taken out of all sums that judge it. Sums by host, domain and suffix come from one grouped
+aggregation with partial sums, and rows of frequent hosts meet them by broadcast, so a host with a third of all rows
+is no burden; nothing that grows with the input is collected or broadcast. The text model has
+``most_languages`` x 65,536 cells at most, and is trained on about ``sample_rows`` labelled rows (for each language a
+share of its rows by hash of the id, whole texts), its one sample. Languages beyond the ``most_languages`` most
+frequent labels have no model; their texts are judged by the others', or rejected.
 
 A row is rejected (accepted false, lang "und") where its text has fewer than ``min_grams`` trigrams, where even
 the best language finds the text no likelier than noise, or where the posterior is under ``min_posterior``.
@@ -33,14 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.staging import boxed, staged
+from assayer.llm.staging import boxed, join_hot, staged
 
 CELLS = 1 << 16
 #: A text whose best mean log-probability of a trigram is below this is noise; even odds over all cells are -11.1.
 FLOOR = -10.0
 _TAG = re.compile(r"<!--|<(/?[a-zA-Z][a-zA-Z0-9]*)[^<>]*>")
 _NO_LETTER = re.compile(r"[\W\d_]+")
-_ASIDE = {"script", "style", "nav", "footer", "header", "aside", "noscript", "template"}
+#: The end of what frames an article, or is no text, by its name.
+_ASIDE = {
+    name: re.compile(f"</{name}", re.ASCII | re.IGNORECASE)
+    for name in ("script", "style", "nav", "footer", "header", "aside", "noscript", "template")
+}
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -53,7 +59,7 @@ def trigrams(text: str) -> np.ndarray:
 
 def visible(page: str) -> str:
     """A page's running text, without markup, scripts and what frames the article. One forward pass."""
-    out, at, low = [], 0, page.lower()
+    out, at = [], 0
     while m := _TAG.search(page, at):
         out.append(page[at : m.start()])
         out.append(" ")
@@ -63,8 +69,8 @@ def visible(page: str) -> str:
             end = page.find("-->", at)
             at = len(page) if end < 0 else end + 3
         elif name in _ASIDE:
-            end = low.find(f"</{name}", at)
-            at = len(page) if end < 0 else end
+            end = _ASIDE[name].search(page, at)
+            at = end.start() if end else len(page)
     out.append(page[at:])
     return entities.unescape("".join(out))
 
@@ -96,12 +102,14 @@ def train(
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_languages).collect()
     langs = tuple(sorted(r[0] for r in sizes))
-    n = sum(r["count"] for r in sizes)
-    share = min(1.0, sample_rows / max(1, n))
     parts = 1_000_000
-    chosen = known.filter(
-        F.col(lang_col).isin(*langs) & (F.pmod(F.xxhash64(id_col), F.lit(parts)) < math.ceil(share * parts))
-    ).select(F.col(lang_col).alias("l"), F.col(text_col).cast("string").alias("t"))
+    each_lang = sample_rows / max(1, len(langs))
+    # Of each language the same number of rows, or all: a rare one is learnt as well as a common one.
+    least = {r[0]: math.ceil(min(1.0, each_lang / r["count"]) * parts) for r in sizes}
+    mine = F.lit(False)
+    for lang, share in least.items():
+        mine = mine | ((F.col(lang_col) == lang) & (F.pmod(F.xxhash64(id_col), F.lit(parts)) < share))
+    chosen = known.filter(mine).select(F.col(lang_col).alias("l"), F.col(text_col).cast("string").alias("t"))
     index = {lang: i for i, lang in enumerate(langs)}
 
     def each(batches):
@@ -130,13 +138,14 @@ def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """(_id, _text, _declared, _host, _domain, _suffix) of raw web pages; _text is the page's markup."""
     page, url = F.coalesce(F.col(html_col), F.lit("")), F.coalesce(F.col(url_col), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
+    second = host.rlike(r"\.(ac|co|com|edu|go|gob|gov|gouv|ne|net|nom|or|org)\.[a-z]{2}$")
     declared = F.regexp_extract(page, r"(?i)<html[^<>]*\slang\s*=\s*[\"']?([a-z]+)", 1)
     return pages.select(
         F.col(id_col).alias("_id"),
         page.alias("_text"),
         declared.alias("_declared"),
         host.alias("_host"),
-        F.substring_index(host, ".", -2).alias("_domain"),
+        F.when(second, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2)).alias("_domain"),
         F.substring_index(host, ".", -1).alias("_suffix"),
     )
 
@@ -216,18 +225,16 @@ def identify(
         declared[names.index(r["_declared"])] += r["s"]
     whole = declared.sum(axis=0) - (k + 2) + 1
     whole = whole / whole.sum()
-    declared = np.log(declared / declared.sum(axis=0, keepdims=True))
+    said_in = declared.sum(axis=0)
 
-    def summed(of: DataFrame, key: str, name: str) -> DataFrame:
-        return of.groupBy(key).agg(F.array(*(F.sum(F.col("_hosts")[i]) for i in range(k))).alias(name))
+    def with_sums(of: DataFrame, key: str, name: str) -> DataFrame:
+        """The hosts with the sums of their domain or suffix, of which one may have most hosts."""
+        sums = of.groupBy(key).agg(F.array(*(F.sum(F.col("_hosts")[i]) for i in range(k))).alias(name), F.count("*").alias("_n"))
+        return staged(join_hot(of, staged(sums, "sums"), key, "_n", of.count()).drop(key, "_n"), "hosts")
 
     hosts = scored.groupBy("_host", "_domain", "_suffix").agg(F.array(*shares).alias("_hosts"), F.count("*").alias("host_rows"))
-    hosts = (
-        hosts.join(summed(hosts, "_domain", "_domains"), "_domain")
-        .join(summed(hosts, "_suffix", "_suffixes"), "_suffix")
-        .drop("_domain", "_suffix")
-    )
-    joined = scored.drop("_domain", "_suffix").join(hosts, "_host")
+    hosts = with_sums(with_sums(staged(hosts, "hosts"), "_domain", "_domains"), "_suffix", "_suffixes")
+    joined = join_hot(scored.drop("_domain", "_suffix"), hosts, "_host", "host_rows", scored.count())
 
     def fuse(batches):
         def table(column):
@@ -248,7 +255,8 @@ def identify(
             host = smoothed(table(c["_hosts"]), domain, host_weight)
             suffix = smoothed(table(c["_suffixes"]), whole, suffix_weight)
             said = np.array([names.index(d) for d in c["_declared"].to_pylist()])
-            post = _softmax(table(c["_fit"]) + declared[said] + np.log(suffix / whole) + np.log(host))
+            markup = np.log((declared[said] - own) / (said_in - own))
+            post = _softmax(table(c["_fit"]) + markup + np.log(suffix / whole) + np.log(host))
             at = post.argmax(axis=1)
             sure = post.max(axis=1)
             good = (n >= min_grams) & (c["_best"].to_numpy() >= FLOOR) & (sure >= min_posterior) & bool(model_langs)

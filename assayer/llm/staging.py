@@ -42,6 +42,18 @@ def boxed(docs: DataFrame, **named: Column) -> DataFrame:
     return docs.select(whole, *(c.alias(name) for name, c in named.items()))
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, n: str, total: int, share: int = 1024) -> DataFrame:
+    """``rows`` joined with ``table`` on ``key``, without a task that gets all rows of a hot key.
+
+    ``table`` has a row for each key, with its number of rows in column ``n``. Keys with one in ``share`` of all
+    ``total`` rows or more are at most ``share``; they are broadcast, the others joined by shuffle. Write the table
+    before: it is read twice. Nulls must not be keys.
+    """
+    hot = F.broadcast(table.filter(F.col(n) * share >= F.lit(total)))
+    cold = table.filter(F.col(n) * share < F.lit(total))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _doc, _text): _doc numbers documents in the order of their ids, and equal rows alike.
 
