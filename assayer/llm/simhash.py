@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.components import components
-from assayer.llm.staging import boxed, staged
+from assayer.llm.staging import boxed, join_hot, staged
 
 BITS = 64
 SEGMENT = 32
@@ -170,14 +170,18 @@ def _with_components(rows: DataFrame, most: int) -> DataFrame:
 
 
 def spread(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows with _least, the smallest _id of their component; found has the components of _fp."""
+    """The rows with _least, the smallest _id of their component; found has the components of _fp.
+
+    Fingerprints and components with many rows are joined by broadcast, the rest by shuffle.
+    """
     roots = found.select(F.col("node").alias("_fp"), F.col("root").alias("_root"))
-    own = rows.groupBy("_fp").agg(F.min("_id").alias("_least"))
-    linked = own.join(roots, "_fp")
-    least = linked.groupBy("_root").agg(F.min("_least").alias("_least"))
-    spread = linked.drop("_least").join(least, "_root").select("_fp", "_least")
-    named = own.join(roots.select("_fp"), "_fp", "left_anti").union(spread)
-    return rows.join(named, "_fp")
+    own = rows.groupBy("_fp").agg(F.min("_id").alias("_least"), F.count("*").alias("_n"))
+    linked = staged(own.join(roots, "_fp"), "linked")
+    least = staged(linked.groupBy("_root").agg(F.min("_least").alias("_least"), F.count("*").alias("_members")), "least")
+    total, members = rows.count(), linked.count()
+    spread = join_hot(linked.drop("_least"), least, "_root", "_members", members).select("_fp", "_least", "_n")
+    alone = own.join(roots.select("_fp"), "_fp", "left_anti").select("_fp", "_least", "_n")
+    return join_hot(rows, staged(alone.union(spread), "named"), "_fp", "_n", total).drop("_n")
 
 
 def drop_near_duplicates(
