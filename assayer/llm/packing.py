@@ -161,16 +161,20 @@ def pack_documents(
 
 def pack_conversations(
     turns: DataFrame,
+    id_col: str = "conv_id",
+    role_col: str = "role",
+    text_col: str = "text",
     *,
     limit: int = 2048,
     most_segments: int = 16,
-    most_loss: int = 1536,
+    most_loss: int = 1024,
     loss_role: str = "assistant",
     ranks: str | None = None,
 ) -> DataFrame:
     """Instruction data: a row for each conversation, with its tokens, turns and loss-bearing tokens.
 
-    Columns: conv_id, length, segments (its turns), loss_tokens (in turns of ``loss_role``), sequence_id, offset.
+    Columns: ``id_col``, length, segments (its turns), loss_tokens (in turns of ``loss_role``), sequence_id, offset.
+    A conversation beyond a limit has a sequence to itself.
     """
     path = ranks or bpe.default_ranks()
 
@@ -178,14 +182,13 @@ def pack_conversations(
         encode = bpe.encoder(path).ids
         for batch in batches:
             sizes = [len(encode(t or "")) // 4 + 1 for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], ["conv_id", "role", "length"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], ["_id", "_role", "length"])
 
-    sized = turns.select("conv_id", "role", "text").mapInArrow(each, "conv_id long, role string, length long")
-    whole = sized.groupBy("conv_id").agg(
+    rows = turns.select(F.col(id_col).alias("_id"), F.col(role_col).cast("string").alias("_role"), F.col(text_col).cast("string"))
+    sized = rows.mapInArrow(each, f"_id {rows.schema['_id'].dataType.simpleString()}, _role string, length long")
+    whole = sized.groupBy(F.col("_id").alias(id_col)).agg(
         F.sum("length").alias("length"),
         F.count("*").alias("segments"),
-        F.coalesce(F.sum(F.when(F.col("role") == loss_role, F.col("length"))), F.lit(0)).alias("loss_tokens"),
+        F.coalesce(F.sum(F.when(F.col("_role") == loss_role, F.col("length"))), F.lit(0)).alias("loss_tokens"),
     )
-    return pack(staged(whole, "conversations"), ["conv_id"], limits=(limit, most_segments, most_loss)).drop("turn")
+    return pack(staged(whole, "conversations"), [id_col], limits=(limit, most_segments, most_loss)).drop("turn")

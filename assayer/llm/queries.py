@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from assayer.llm import (
     token_counts,
     window_dedup,
 )
+from assayer.llm.staging import shared_root
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,8 +60,9 @@ def op6_doc_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 24 shards of near equal bytes, through virtual slots."""
-    return sharding.shard(_read(spark, sf_dir, "documents"), n_shards=24).select(
+    """All documents in 24 shards of near equal bytes by a stored slot map, and their shards under its next version, of 25."""
+    path = f"{shared_root(spark)}/assayer/slot-map-{uuid.uuid4().hex}"
+    return sharding.shard_by_stored_map(_read(spark, sf_dir, "documents"), path, n_shards=24, grow_to=25).select(
         "doc_id",
         "size",
         "text_crc32",
@@ -68,6 +72,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
         "map_version",
+        "next_shard",
+        "next_version",
     )
 
 
@@ -76,6 +82,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), limit=2048)
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with its place in a sequence, under limits on tokens, turns and the assistant's tokens."""
+    return packing.pack_conversations(_read(spark, sf_dir, "conversations"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the component that links of 3 bits or fewer make."""
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), width=3, most=3)
@@ -97,6 +108,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
+    "instruction_packing": instruction_packing,
 }
 
 ORACLES = {

@@ -3,7 +3,7 @@
 Records hash into ``VIRTUAL_SLOTS`` slots, whose number never changes; what changes is the slot map, a small
 versioned table from slot to shard. Bytes are aggregated by slot (at most ``VIRTUAL_SLOTS`` rows, whatever the
 input), and slots go to shards largest first, each to the lightest shard, so shards are near equal in bytes.
-Adding shards edits the map: only slots that move into the new shards change. 10,080 has the divisors 1 to 10,
+Maps are stored, a file for each version, under the folder that a query names. Adding shards edits the map: only slots that move into the new shards change. 10,080 has the divisors 1 to 10,
 12, 14, 15, 16, 18, 20, 21, 24, 28, 30, 32 and so on, so that at large sizes, where slots are all alike, the
 usual shard counts divide it evenly.
 
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from assayer.llm.staging import staged
 
 VIRTUAL_SLOTS = 10_080
-MAP_SCHEMA = "version int, virtual_slot int, shard int"
 
 
 @dataclass(frozen=True)
@@ -40,13 +39,14 @@ class SlotMap:
         return [(self.version, v, s) for v, s in enumerate(self.shard_of)]
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Append this version to the map's table."""
-        spark.createDataFrame(self.rows(), MAP_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        """Add this version to the map's table; a version that is there already is an error."""
+        rows = spark.createDataFrame([(v, s) for _, v, s in self.rows()], "virtual_slot int, shard int")
+        rows.coalesce(1).write.mode("error").parquet(f"{path}/version={self.version}")
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
         """The given version, or the latest."""
-        table = spark.read.schema(MAP_SCHEMA).parquet(path)
+        table = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
         if version is None:
             version = table.agg(F.max("version")).first()[0]
         shards = [r.shard for r in table.filter(F.col("version") == version).orderBy("virtual_slot").collect()]
@@ -104,6 +104,38 @@ def into_slots(docs: DataFrame, id_col: str, text_col: str, slots: int = VIRTUAL
     )
 
 
+def slot_bytes(rows: DataFrame) -> dict[int, tuple[int, int]]:
+    """Bytes and rows of each slot."""
+    sums = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    return {r.virtual_slot: (r.bytes, r.n) for r in sums.collect()}
+
+
+def shard_by_stored_map(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, n_shards: int = 24, grow_to: int | None = None
+) -> DataFrame:
+    """``shard`` by the latest map stored under ``path``, which is made and stored there if there is none.
+
+    With ``grow_to``, the map is edited for so many shards and stored as the next version; next_shard and next_version
+    are each row's under it. Rows move into the new shards only.
+    """
+    spark = docs.sparkSession
+    rows = staged(into_slots(docs, id_col, text_col), "slots")
+    sizes = {v: b for v, (b, _) in slot_bytes(rows).items()}
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+        balanced(sizes, n_shards).save(spark, path)
+    now = SlotMap.load(spark, path)
+    if now.n_shards != n_shards:
+        raise ValueError(f"the map at {path} has {now.n_shards} shards")
+    made = shard_rows(rows, now, id_col)
+    if grow_to is None:
+        return made
+    rebalanced(now, sizes, grow_to).save(spark, path)
+    grown = SlotMap.load(spark, path)
+    moved = spark.createDataFrame(list(enumerate(grown.shard_of)), "virtual_slot int, next_shard int")
+    return made.join(F.broadcast(moved), "virtual_slot").withColumn("next_version", F.lit(grown.version))
+
+
 def shard(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -117,18 +149,20 @@ def shard(
 
     ``slot_map`` is an earlier version to keep to; without one, a map is made for these rows.
     """
-    spark = docs.sparkSession
     rows = staged(into_slots(docs, id_col, text_col, slots), "slots")
-    stats = {
-        r.virtual_slot: (r.bytes, r.n)
-        for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-    }
-    slot_map = slot_map or balanced({v: b for v, (b, _) in stats.items()}, n_shards, slots)
+    if slot_map is None:
+        slot_map = balanced({v: b for v, (b, _) in slot_bytes(rows).items()}, n_shards, slots)
+    return shard_rows(rows, slot_map, id_col)
+
+
+def shard_rows(rows: DataFrame, slot_map: SlotMap, id_col: str) -> DataFrame:
+    """Rows of ``into_slots``, written before, in the shards of the map."""
+    stats = slot_bytes(rows)
     start, table = [0] * slot_map.n_shards, []
     for v, s in enumerate(slot_map.shard_of):
         table.append((v, s, start[s]))
         start[s] += stats.get(v, (0, 0))[1]
-    places = spark.createDataFrame(table, "virtual_slot int, shard int, _start long")
+    places = rows.sparkSession.createDataFrame(table, "virtual_slot int, shard int, _start long")
     in_slot = Window.partitionBy("virtual_slot").orderBy("_id", "text_crc32", "size")
     return (
         rows.withColumn("_rank", F.row_number().over(in_slot).cast("long") - 1)

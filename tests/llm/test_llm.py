@@ -127,11 +127,32 @@ def test_slot_map_balances_and_grows(spark, tmp_path):
     assert grown.version == 2
     assert abs(sum(sizes[v] for v in moved) - sum(sizes.values()) / 25) < 1100
     first.save(spark, str(tmp_path / "map"))
+    with pytest.raises(Exception, match="(?i)exists"):
+        first.save(spark, str(tmp_path / "map"))
     grown.save(spark, str(tmp_path / "map"))
     assert sharding.SlotMap.load(spark, str(tmp_path / "map")) == grown
     assert sharding.SlotMap.load(spark, str(tmp_path / "map"), 1) == first
 
 
+def test_sharding_by_a_stored_map(docs, spark, tmp_path):
+    """Bytes near equal under the law; growth moves rows into the new shard only; a second run keeps to the stored map."""
+    path = str(tmp_path / "map")
+    rows = sharding.shard_by_stored_map(docs, path, n_shards=4, grow_to=5).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(TEXT)
+    load = Counter()
+    for r in rows:
+        load[r.shard] += r.size
+    # Largest first to the lightest: no shard is further above another than the largest slot.
+    slots = Counter()
+    for r in rows:
+        slots[r.virtual_slot] += r.size
+    assert max(load.values()) - min(load[s] for s in range(4)) <= max(slots.values())
+    assert all(r.next_shard in (r.shard, 4) for r in rows) and {(r.map_version, r.next_version) for r in rows} == {(1, 2)}
+    assert sharding.SlotMap.load(spark, path).n_shards == 5
+    again = sharding.shard_by_stored_map(docs, path, n_shards=5).collect()
+    assert {r.doc_id: r.shard for r in again} == {r.doc_id: r.next_shard for r in rows}
+
+
 # components and SimHash
 
 
@@ -638,6 +659,51 @@ def test_language_of_pages(spark, tongues):
     assert got[0].host == f"www.{want[0]}.example.{want[0]}"
 
 
+def test_page_text_survives_letters_that_grow_in_lower_case():
+    page = "İ" * 40 + "<SCRIPT>x</Script><p>the text after</p><nav>aside</nav> and more <style>never closed"
+    assert " ".join(language_id.visible(page).split()) == "İ" * 40 + " the text after and more"
+
+
+def test_language_posterior_is_that_of_the_formula(spark, tongues):
+    """Every row's posterior recomputed from counts by dictionaries, its own share taken out."""
+    words, labelled = tongues
+    model = language_id.train(labelled)
+    rng = random.Random(15)
+    hosts = ["a.co.uk", "www.a.co.uk", "b.co.uk", "x.example.de", "y.example.de", "z.fr", ""]
+    rows = []
+    for i in range(60):
+        k = rng.choice(["en", "de", "fr"])
+        rows.append((i, rng.choice(["", " ".join(rng.choices(words[k], k=rng.randrange(1, 4)))]), rng.choice(["en", "de", "xx", ""]), rng.choice(hosts)))
+    html = [(i, f"https://{h}/" if h else None, f"<html lang='{d}'>{t}" if d else t) for i, t, d, h in rows]
+    got = _by_id(language_id.identify(language_id.page_evidence(spark.createDataFrame(html, "page_id long, url string, html string")), model, markup=True), "_id")
+    k = len(model.langs)
+    domain = lambda h: ".".join(h.split(".")[-3:] if h.endswith("co.uk") else h.split(".")[-2:])
+    of = [("host", lambda r: r[3]), ("domain", lambda r: domain(r[3])), ("suffix", lambda r: r[3].rpartition(".")[2])]
+    names = {"en": "en", "de": "de", "xx": "other", "": "none"}
+    fit, own = {}, {}
+    for r in rows:
+        n, total = model.scores(language_id.visible(r[1]))
+        fit[r[0]] = total / 3
+        e = np.exp(fit[r[0]] - fit[r[0]].max())
+        own[r[0]] = e / e.sum() * (n >= 3)
+    sums = {kind: defaultdict(lambda: np.zeros(k)) for kind in ("host", "domain", "suffix", "said")}
+    for r in rows:
+        for kind, key in of:
+            sums[kind][key(r)] = sums[kind][key(r)] + own[r[0]]
+        sums["said"][names[r[2]]] = sums["said"][names[r[2]]] + own[r[0]]
+    whole = sum(own.values()) + 1
+    whole = whole / whole.sum()
+    smooth = lambda c, wider, w: (c + w * wider) / (c.sum() + w)
+    for r in rows:
+        i = r[0]
+        host, dom, suffix = (np.maximum(0, sums[kind][key(r)] - own[i]) for kind, key in of)
+        prior = smooth(host, smooth(dom, whole, 50.0), 20.0)
+        said = (sums["said"][names[r[2]]] + 1 - own[i]) / (sum(own.values()) + k + 2 - own[i])
+        z = fit[i] + np.log(said) + np.log(smooth(suffix, whole, 200.0) / whole) + np.log(prior)
+        e = np.exp(z - z.max())
+        assert got[i].posterior == pytest.approx(e.max() / e.sum(), rel=1e-9)
+
+
 def test_language_evidence_decides_ambiguous_text(spark, tongues):
     _, labelled = tongues
     model = language_id.train(labelled)
