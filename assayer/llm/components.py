@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.staging import join_hot, staged
+from assayer.llm.staging import join_hot, scratch, staged
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -21,14 +21,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     before = None
     n = now.count()
     for _ in range(max_rounds):
-        both = now.union(now.select("v", "u"))
-        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
-        hung = join_hot(both.filter("v > u"), least, "u", "n", 2 * n)
-        large = staged(hung.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = staged(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-        hung = join_hot(large, least, "u", "n", n)
-        small = hung.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = staged(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        with scratch():
+            both = now.union(now.select("v", "u"))
+            least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+            hung = join_hot(both.filter("v > u"), least, "u", "n", 2 * n)
+            large = staged(hung.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+            least = staged(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+            hung = join_hot(large, least, "u", "n", n)
+            small = hung.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            now = staged(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges", outlive=True)
         n, check = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n, check) == before:
             break

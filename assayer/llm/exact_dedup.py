@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.staging import boxed, staged
+from assayer.llm.staging import boxed, scratch, staged
 
 KEY = ("_digest", "_check", "_bytes")
 #: The most rows that a first-level run has on average.
@@ -130,12 +130,14 @@ def drop_copies(
     fan_in: int = 8,
 ) -> DataFrame:
     """The input's rows and columns, one row for each distinct text."""
-    stays = (
-        _resolved(docs, id_col, text_col, keep, runs, fan_in)
-        .filter(F.col("_id").eqNullSafe(F.col("_keep")))
-        .select(F.struct("_id", "_digest").alias("_stays"))
-        .distinct()
-    )
+    with scratch():
+        stays = (
+            _resolved(docs, id_col, text_col, keep, runs, fan_in)
+            .filter(F.col("_id").eqNullSafe(F.col("_keep")))
+            .select(F.struct("_id", "_digest").alias("_stays"))
+            .distinct()
+        )
+        stays = staged(stays, "stays", outlive=True)
     tagged = boxed(docs, _name=F.struct(F.col(id_col).alias("_id"), _identity(F.col(text_col))[0]))
     # The window is over the join's own key, so rows are shuffled once.
     once = Window.partitionBy("_name").orderBy(F.lit(0))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.staging import boxed, join_hot, staged
+from assayer.llm.staging import boxed, join_hot, scratch, staged
 
 CELLS = 1 << 16
 #: A text whose best mean log-probability of a trigram is below this is noise; even odds over all cells are -11.1.
@@ -294,12 +294,14 @@ def drop_rejected(
     host_col: str = "source",
 ) -> DataFrame:
     """The input's rows and columns without rows that ``identify`` rejects."""
-    lost = (
-        identify(row_evidence(docs, id_col, text_col, declared_col, host_col), model)
-        .filter("NOT accepted")
-        .select(F.col("_id").alias("_lost"), F.col("_text_hash").alias("_lost_text"))
-        .distinct()
-    )
+    with scratch():
+        lost = (
+            identify(row_evidence(docs, id_col, text_col, declared_col, host_col), model)
+            .filter("NOT accepted")
+            .select(F.col("_id").alias("_lost"), F.col("_text_hash").alias("_lost_text"))
+            .distinct()
+        )
+        lost = staged(lost, "lost", outlive=True)
     rows = boxed(docs, _id=F.col(id_col), _hash=F.xxhash64(F.col(text_col).cast("string")))
     same = F.col("_id").eqNullSafe(F.col("_lost")) & (F.col("_hash") == F.col("_lost_text"))
     return rows.join(lost, same, "left_anti").select("_row.*")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.staging import boxed, staged
+from assayer.llm.staging import boxed, scratch, staged
 
 DOMAINS = ("low", "toxic", "good")
 TARGETS = {"low": 0.04, "toxic": 0.005, "good": 0.955}
@@ -313,12 +313,14 @@ def mix(
 
 def mixed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input's rows and columns, each row as often as its copies say."""
-    chosen = (
-        mix(docs, labels, id_col, text_col, **options)
-        .filter("copies > 0")
-        .select(F.col(id_col).alias("_k"), F.col("_hash").alias("_h"), F.col("copies").alias("_copies"))
-        .dropDuplicates(["_k", "_h"])
-    )
+    with scratch():
+        chosen = (
+            mix(docs, labels, id_col, text_col, **options)
+            .filter("copies > 0")
+            .select(F.col(id_col).alias("_k"), F.col("_hash").alias("_h"), F.col("copies").alias("_copies"))
+            .dropDuplicates(["_k", "_h"])
+        )
+        chosen = staged(chosen, "chosen", outlive=True)
     rows = boxed(docs, _id=F.col(id_col), _hash=F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     joined = rows.join(chosen, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")))
     return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.components import components
-from assayer.llm.staging import boxed, join_hot, staged
+from assayer.llm.staging import boxed, join_hot, scratch, staged
 
 BITS = 64
 SEGMENT = 32
@@ -188,18 +188,24 @@ def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, most: int = 3
 ) -> DataFrame:
     """The input's rows and columns, one row for each component: that with the smallest id."""
-    rows = staged(fingerprints(docs, id_col, text_col, width), "simhash")
-    return keep_least(docs, _with_components(rows, most), id_col, text_col)
+    with scratch():
+        rows = staged(fingerprints(docs, id_col, text_col, width), "simhash")
+        stays = staged(staying(_with_components(rows, most)), "stays", outlive=True)
+    return keep_least(docs, stays, id_col, text_col)
+
+
+def staying(named: DataFrame) -> DataFrame:
+    """_stays, a struct of the id, of the row of each component that stays."""
+    return named.filter(F.col("_id").eqNullSafe(F.col("_least"))).select(F.struct("_id").alias("_stays")).distinct()
 
 
-def keep_least(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The input's rows whose _id is the _least of their component; of rows that share it, one of the least text hash."""
-    stay = named.filter(F.col("_id").eqNullSafe(F.col("_least"))).select(F.struct("_id").alias("_stays")).distinct()
+def keep_least(docs: DataFrame, stays: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The input's rows whose id is in ``stays``; of rows that share it, one of the least text hash."""
     # The window is over the join's own key, so rows are shuffled once.
     once = Window.partitionBy("_name").orderBy("_hash")
     return (
         boxed(docs, _name=F.struct(F.col(id_col).alias("_id")), _hash=F.xxhash64(text_col))
-        .join(stay, F.col("_name") == F.col("_stays"))
+        .join(stays, F.col("_name") == F.col("_stays"))
         .withColumn("_nth", F.row_number().over(once))
         .filter("_nth = 1")
         .select("_row.*")

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +27,33 @@ def shared_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+_areas: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch():
+    """Tables staged within are deleted at the end, but for those that are to outlive it.
+
+    For tables that nothing lazy still reads then.
+    """
+    _areas.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _areas.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def staged(df: DataFrame, name: str, *, outlive: bool = False) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
     Readers then survive the loss of any executor, and nothing upstream is computed twice.
     """
     path = f"{shared_root(df.sparkSession)}/assayer/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if areas := _areas[: -1 if outlive else None]:
+        areas[-1].append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
