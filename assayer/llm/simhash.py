@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.components import components
-from assayer.llm.staging import boxed, join_hot, scratch, staged
+from assayer.llm.staging import boxed, join_hot, scratch, small, staged
 
 BITS = 64
 SEGMENT = 32
@@ -190,23 +190,25 @@ def drop_near_duplicates(
     """The input's rows and columns, one row for each component: that with the smallest id."""
     with scratch():
         rows = staged(fingerprints(docs, id_col, text_col, width), "simhash")
-        stays = staged(staying(_with_components(rows, most)), "stays", outlive=True)
-    return keep_least(docs, stays, id_col, text_col)
+        lost, again = leaving(_with_components(rows, most))
+    return keep_least(docs, lost, again, id_col, text_col)
 
 
-def staying(named: DataFrame) -> DataFrame:
-    """_stays, a struct of the id, of the row of each component that stays."""
-    return named.filter(F.col("_id").eqNullSafe(F.col("_least"))).select(F.struct("_id").alias("_stays")).distinct()
+def leaving(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """_name, a struct of the id, of rows that aren't the _least of their component, and of ids that several rows have."""
+    name = F.struct("_id").alias("_name")
+    lost = named.filter(~F.col("_id").eqNullSafe(F.col("_least"))).select(name).distinct()
+    again = named.groupBy("_id").count().filter("count > 1").select(name)
+    return staged(lost, "lost", outlive=True), staged(again, "again", outlive=True)
 
 
-def keep_least(docs: DataFrame, stays: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The input's rows whose id is in ``stays``; of rows that share it, one of the least text hash."""
-    # The window is over the join's own key, so rows are shuffled once.
+def keep_least(docs: DataFrame, lost: DataFrame, again: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The input's rows without those in ``lost``; of rows that share an id in ``again``, one of the least text hash.
+
+    While these are small, no whole row is shuffled but those whose ids repeat.
+    """
+    lost, again = small(lost), small(again)
+    rows = boxed(docs, _name=F.struct(F.col(id_col).alias("_id")), _hash=F.xxhash64(text_col)).join(lost, "_name", "left_anti")
     once = Window.partitionBy("_name").orderBy("_hash")
-    return (
-        boxed(docs, _name=F.struct(F.col(id_col).alias("_id")), _hash=F.xxhash64(text_col))
-        .join(stays, F.col("_name") == F.col("_stays"))
-        .withColumn("_nth", F.row_number().over(once))
-        .filter("_nth = 1")
-        .select("_row.*")
-    )
+    repeated = rows.join(again, "_name", "left_semi").withColumn("_nth", F.row_number().over(once)).filter("_nth = 1")
+    return rows.join(again, "_name", "left_anti").select("_row").union(repeated.select("_row")).select("_row.*")

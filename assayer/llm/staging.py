@@ -63,6 +63,11 @@ def boxed(docs: DataFrame, **named: Column) -> DataFrame:
     return docs.select(whole, *(c.alias(name) for name, c in named.items()))
 
 
+def small(table: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """A written table of a few narrow columns, to be broadcast if it has ``most`` rows or fewer, else as it is."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def join_hot(rows: DataFrame, table: DataFrame, key: str, n: str, total: int, share: int = 1024) -> DataFrame:
     """``rows`` joined with ``table`` on ``key``, without a task that gets all rows of a hot key.
 
