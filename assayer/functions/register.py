@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -10,13 +11,21 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayer.functions import fixed
+
 
 def register(spark: SparkSession) -> None:
     """Registers norm_text, nfkc_fold, seq_ratio and case_id."""
 
+    signs = "".join(fixed.FRACTIONS)
+    vulgar, apart = re.compile(f"[{signs}]"), re.compile(rf"(?<=[\d{signs}])(?=[{signs}])")
+
     @F.pandas_udf(T.StringType())
     def norm_text(s: pd.Series) -> pd.Series:
-        tidy = lambda t: "\n".join(" ".join(x.split()) for x in unicodedata.normalize("NFKC", t).splitlines()).strip()
+        def tidy(text: str) -> str:
+            plain = vulgar.sub(lambda m: fixed.FRACTIONS[m[0]], apart.sub(" ", text)).replace("\u2044", "/")
+            return "\n".join(" ".join(x.split()) for x in unicodedata.normalize("NFKC", plain).splitlines()).strip()
+
         return s.map(tidy, na_action="ignore")
 
     @F.pandas_udf(T.StringType())

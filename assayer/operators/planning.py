@@ -8,36 +8,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.operators.report import containing
+from assayer.functions.text import BREAK, collapse, leakage_form
 
 #: Tokens added to a prompt's bytes, and the least tokens that a use of search is taken to read.
 OVERHEAD, SEARCH_FLOOR = 32, 16_000
 DRIFT = 1.25
 
 
-def token_estimate(prompt: Column, searches: Column | None = None, search_tokens: Column | None = None) -> Column:
-    """UTF-8 bytes plus overhead, plus what each use of search may read."""
+def reserved_uses(most_uses: Column, most_cost: Column) -> Column:
+    """Uses of search to reserve for: one where their cost has a cap, else as many as are allowed."""
+    return F.when(most_cost.isNotNull(), F.lit(1)).otherwise(most_uses)
+
+
+def token_estimate(prompt: Column, searches: Column | None = None, search_tokens: Column | None = None, engine: Column | None = None) -> Column:
+    """UTF-8 bytes plus overhead, plus what each use of search may read.
+
+    Engines that choose for themselves (auto, native) are taken to read ``SEARCH_FLOOR`` tokens at least.
+    """
     base = F.octet_length(prompt) + OVERHEAD
     if searches is None:
         return base
-    return base + searches * F.greatest(F.coalesce(search_tokens, F.lit(0)), F.lit(SEARCH_FLOOR))
+    each = F.coalesce(search_tokens if search_tokens is not None else F.lit(0), F.lit(0))
+    floor = F.lit(True) if engine is None else engine.isin("auto", "native")
+    return base + searches * F.when(floor, F.greatest(each, F.lit(SEARCH_FLOOR))).otherwise(each)
 
 
 def money(c: Column) -> Column:
     return c.cast("decimal(12,6)")
 
 
-def cost_estimate(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column, extra: Column | None = None) -> Column:
-    """Exact cost in the currency of prices for a million tokens."""
+def cost_estimate(
+    tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column, extra: Column | None = None, cap: Column | None = None
+) -> Column:
+    """Exact cost in the currency of prices for a million tokens; a cap on search may be overrun by a quarter."""
     whole = lambda c: c.cast("decimal(12,0)")
     used = whole(tokens_in) * money(price_in) + whole(tokens_out) * money(price_out)
     cost = (used * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(38,12)")
-    return cost if extra is None else cost + F.coalesce(money(extra), F.lit(0).cast("decimal(12,6)"))
+    if extra is not None:
+        cost = cost + F.coalesce(money(extra), F.lit(0).cast("decimal(12,6)"))
+    return cost if cap is None else F.greatest(cost, (money(cap) * F.lit("1.25").cast("decimal(3,2)")).cast("decimal(38,12)"))
 
 
 def render(template: Column, recipe_name: Column, cookbook_title: Column) -> Column:
-    """The two fields of a prompt template filled in."""
-    return F.replace(F.replace(template, F.lit("{recipe_name}"), recipe_name), F.lit("{cookbook_title}"), cookbook_title)
+    """The two fields of a prompt template filled in, and doubled braces made single. Values are taken as they are."""
+    opened, closed, recipe, title = "\ue000\ue001\ue002\ue003"
+    marked = F.replace(template, F.lit("{{"), F.lit(opened))
+    marked = F.replace(marked, F.lit("{recipe_name}"), F.lit(recipe))
+    marked = F.replace(F.replace(marked, F.lit("{cookbook_title}"), F.lit(title)), F.lit("}}"), F.lit(closed))
+    plain = F.translate(marked, opened + closed, "{}")
+    return _filled(plain, recipe, recipe_name, title, cookbook_title)
+
+
+def _filled(plain: Column, recipe: str, recipe_name: Column, title: str, cookbook_title: Column) -> Column:
+    """Pieces between marks put together by values, which are not searched for marks."""
+
+    def joined(parts: Column, value: Column) -> Column:
+        rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.concat(value, p))
+        return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
+
+    return joined(F.transform(F.split(plain, recipe), lambda p: joined(F.split(p, title), cookbook_title)), recipe_name)
 
 
 def expand(recipes: DataFrame, prompts: DataFrame, models: DataFrame, profiles: DataFrame, repetitions: int) -> DataFrame:
@@ -90,18 +119,12 @@ def leaks(cases: DataFrame, protected: DataFrame) -> DataFrame:
 
     protected: recipe_id, reference_text_exact. Short lines block too; that is the safe side.
     """
-    lines = protected.select(
-        "recipe_id", F.explode(F.array_prepend(F.split("reference_text_exact", r"\R"), F.col("reference_text_exact"))).alias("part")
-    ).withColumn("_part", F.monotonically_increasing_id())
-    own = cases.filter("context_group = 'modern_title_only'").select("case_id", "recipe_id", "rendered_prompt")
-    hits = containing(own.select("case_id", "rendered_prompt"), lines.select("_part", "part"), "case_id", "_part", "rendered_prompt", "part")
-    return (
-        hits.join(lines.select("_part", F.col("recipe_id").alias("_of")), "_part")
-        .join(own.select("case_id", "recipe_id"), "case_id")
-        .filter("_of = recipe_id")
-        .select("case_id", "recipe_id")
-        .distinct()
-    )
+    whole = F.col("reference_text_exact")
+    parts = F.array_distinct(F.transform(F.array_prepend(F.split(whole, BREAK), whole), collapse))
+    lines = protected.select("recipe_id", F.explode(parts).alias("_part")).select("recipe_id", leakage_form(F.col("_part")).alias("_part"))
+    own = cases.filter("context_group = 'modern_title_only'").select("case_id", "recipe_id", leakage_form(F.col("rendered_prompt")).alias("_prompt"))
+    met = own.join(lines.filter("_part <> ''"), "recipe_id")
+    return met.filter(F.contains("_prompt", "_part")).select("case_id", "recipe_id").distinct()
 
 
 def plan_totals(cases: DataFrame, retries: int) -> DataFrame:

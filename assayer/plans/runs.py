@@ -24,9 +24,9 @@ def _matrix(spark, sf_dir):
         F.concat(F.lit("List {recipe_name} of {cookbook_title}, "), F.col("r_name")).alias("template"),
         F.when(F.col("r_regionkey") % 2 == 0, "plain").alias("tool_profile"),
     )
-    models = read(spark, sf_dir, "part").filter("p_partkey <= 4").select(
-        F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("model_id"), "p_size", "p_retailprice", F.col("p_partkey").alias("model_key")
-    )
+    key = F.regexp_extract("model_id", r"\d+", 0).cast("long")
+    brands = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("model_id")).agg(F.min("p_size").alias("p_size"))
+    models = brands.select(key.alias("ordinal"), "model_id", "p_size", key.alias("model_key"))
     profiles = spark.createDataFrame([(0, "plain"), (1, "search")], "ordinal int, tool_profile_id string")
     cases = planning.expand(recipes, prompts, models, profiles, 2)
     return cases.withColumn("rendered_prompt", planning.render(F.col("template"), F.col("recipe_id"), F.col("prompt_id")))
@@ -34,11 +34,10 @@ def _matrix(spark, sf_dir):
 
 MATRIX = """
     WITH matrix AS (
-        SELECT n_name AS recipe_id, n_nationkey, r_name AS prompt_id, r_regionkey, profile AS tool_profile_id, p_partkey AS model_key,
-               p_name AS model_id, p_size, p_retailprice, repetition,
+        SELECT n_name AS recipe_id, n_nationkey, r_name AS prompt_id, r_regionkey, profile AS tool_profile_id, model_key, model_id, p_size, repetition,
                'List ' || n_name || ' of ' || r_name || ', ' || r_name AS rendered_prompt
         FROM nation CROSS JOIN region CROSS JOIN (SELECT unnest(['plain', 'search']) AS profile)
-        CROSS JOIN (SELECT * FROM part WHERE p_partkey <= 4) CROSS JOIN (SELECT unnest([1, 2])::INTEGER AS repetition)
+        CROSS JOIN (SELECT p_brand AS model_id, CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS model_key, min(p_size) AS p_size FROM part GROUP BY 1, 2) CROSS JOIN (SELECT unnest([1, 2])::INTEGER AS repetition)
         WHERE r_regionkey % 2 <> 0 OR profile = 'plain')
 """
 
@@ -89,6 +88,48 @@ def plan_cost(spark, sf_dir):
     )
 
 
+@query("""
+    SELECT p_partkey, '{json} List ' || p_name || ' {cookbook_title} of ' || p_brand || ' {' || p_name || ' {cookbook_title}}' AS prompt FROM part
+""")
+def rendered_prompts(spark, sf_dir):
+    """Templates with both fields and doubled braces; values that look like fields stay as they are."""
+    value = F.concat(F.col("p_name"), F.lit(" {cookbook_title}"))
+    template = F.lit("{{json}} List {recipe_name} of {cookbook_title} {{{recipe_name}}}")
+    return read(spark, sf_dir, "part").select("p_partkey", planning.render(template, value, F.col("p_brand")).alias("prompt"))
+
+
+@query("""
+    SELECT p_partkey AS case_id, p_partkey AS recipe_id FROM part
+    WHERE p_partkey % 5 <> 0 AND (contains(lower('Make ' || CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_type ELSE p_brand END), lower(p_name))
+       OR contains(lower('Make ' || CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_type ELSE p_brand END), lower(p_type)))
+""")
+def prompt_leaks(spark, sf_dir):
+    """Prompts of title-only cases that hold a line of their own recipe's text."""
+    parts, i = read(spark, sf_dir, "part"), F.col("p_partkey") % 3
+    said = F.when(i == 0, F.upper("p_name")).when(i == 1, F.col("p_type")).otherwise(F.col("p_brand"))
+    cases = parts.select(
+        F.col("p_partkey").alias("case_id"), F.col("p_partkey").alias("recipe_id"), F.concat(F.lit("Make  "), said).alias("rendered_prompt"),
+        F.when(F.col("p_partkey") % 5 != 0, "modern_title_only").otherwise("assisted").alias("context_group"),
+    )
+    protected = parts.select(F.col("p_partkey").alias("recipe_id"), F.concat_ws("\n", "p_name", F.lit(""), "p_type").alias("reference_text_exact"))
+    return planning.leaks(cases, protected)
+
+
+@query("""
+    SELECT p_partkey, tokens, CAST(greatest((tokens * 2 + 400 * 3) / 1000000.0 + uses * 0.01, coalesce(cap, 0) * 1.25) AS DOUBLE) AS cost
+    FROM (SELECT *, CAST(strlen(p_name) + 32 + uses * CASE WHEN p_partkey % 3 = 2 THEN p_size ELSE greatest(p_size, 16000) END AS BIGINT) AS tokens
+          FROM (SELECT *, CASE WHEN p_size % 4 = 0 THEN 0.02 END AS cap, CASE WHEN p_size % 4 = 0 THEN 1 ELSE p_size % 6 END AS uses FROM part))
+""")
+def search_costs(spark, sf_dir):
+    """Tokens and cost ceilings with search: uses to reserve for, the floor of engines that choose, and the cap."""
+    cap = F.when(F.col("p_size") % 4 == 0, F.lit("0.02").cast("decimal(12,6)"))
+    uses = planning.reserved_uses(F.col("p_size") % 6, cap)
+    engine = F.element_at(F.array(F.lit("auto"), F.lit("native"), F.lit("exa")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    tokens = planning.token_estimate(F.col("p_name"), uses, F.col("p_size"), engine).cast("long")
+    cost = planning.cost_estimate(tokens, F.lit(400), F.lit(2), F.lit(3), uses * F.lit("0.01").cast("decimal(3,2)"), cap)
+    return read(spark, sf_dir, "part").select("p_partkey", tokens.alias("tokens"), cost.cast("double").alias("cost"))
+
+
 def _starts_and_ends(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     started = e.filter("event_id % 2 = 0").select((F.col("event_id") / 2).cast("long").alias("attempt"), "user_id", "ts")
@@ -111,11 +152,11 @@ def attempt_join(spark, sf_dir):
 @query("""
     SELECT event_id, CAST(row_number() OVER w AS INTEGER) AS attempt_number, lag(event_id) OVER w AS retry_of,
            CAST(2.0 ** (row_number() OVER w - 1) AS DOUBLE) AS backoff_s
-    FROM events WHERE event_id % 10 < 3 WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)
+    FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)
 """)
 def retry_lineage(spark, sf_dir):
     """Attempt numbers, predecessors and waits of repeated attempts."""
-    e = read(spark, sf_dir, "events").filter("event_id % 10 < 3").withColumn("case", F.concat_ws("|", "user_id", "event_type"))
+    e = read(spark, sf_dir, "events").withColumn("case", F.concat_ws("|", "user_id", "event_type"))
     return ev.with_retries(e, "case", ["ts", "event_id"], "event_id").select("event_id", "attempt_number", "retry_of", "backoff_s")
 
 

@@ -9,6 +9,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from assayer.functions import text
 from assayer.functions.register import register
 from assayer.operators import checks, events, planning, report
 from assayer.sources import config, recipes, stores
@@ -243,6 +244,8 @@ def test_config_tables(spark, tmp_path):
 
 def test_sql_functions(spark):
     register(spark)
+    odd = spark.createDataFrame([("1½ cups  flour\r\n x",), ("ﬁne ¼½ 2⁄3",)], "t string").withColumn("a", F.expr("norm_text(t)")).withColumn("b", text.normalized(F.col("t"))).collect()
+    assert [r.a for r in odd] == [r.b for r in odd] and odd[0].a == "1 1/2 cups flour\nx"
     r = spark.sql("SELECT norm_text('ﬁne   x') AS a, seq_ratio('chiken stock', 'chicken stock') AS b, case_id('{}') AS c").first()
     assert (r.a, round(r.b, 2), r.c) == ("fine x", 0.96, "case_" + hashlib.sha256(b"{}").hexdigest())
 
