@@ -74,19 +74,25 @@ def cell_metrics(graded: DataFrame) -> DataFrame:
     )
 
 
-def bigram_counts(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, gram, n, total) of folded tokens."""
+def bigram_counts(df: DataFrame, key: str, column: str, only: DataFrame | None = None) -> DataFrame:
+    """(key, gram, n, total) of folded tokens; total counts all bigrams of the key's text.
+
+    With ``only`` (column gram, distinct) other bigrams go before the shuffle, and totals still count them. A key is
+    to name one text.
+    """
     words = df.select(F.col(key), text.tokens(F.col(column)).alias("_w"))
     n = F.greatest(F.size("_w") - 1, F.lit(0))
     two = F.zip_with(F.slice("_w", F.lit(1), n), F.slice("_w", F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
-    grams = words.select(key, F.explode(two).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
-    return grams.withColumn("total", F.sum("n").over(Window.partitionBy(key)))
+    grams = words.select(key, F.explode(two).alias("gram"), n.cast("long").alias("total"))
+    if only is not None:
+        grams = grams.join(only, "gram", "left_semi")
+    return grams.groupBy(key, "gram", "total").agg(F.count("*").alias("n")).select(key, "gram", "n", "total")
 
 
 def bigram_matches(a: DataFrame, b: DataFrame, a_key: str, b_key: str, *, least_recall: float) -> DataFrame:
     """Pairs whose shared bigrams, copies counted, reach a share of b's; precision and recall over a and b.
 
-    Pairs meet on bigrams of b only, which are few, so documents' other bigrams drop out before the shuffle.
+    Pairs meet on bigrams of b only; give ``bigram_counts`` of a those alone.
     """
     left = a.select(a_key, "gram", F.col("n").alias("_na"), F.col("total").alias("_ta"))
     right = b.select(b_key, "gram", F.col("n").alias("_nb"), F.col("total").alias("_tb"))

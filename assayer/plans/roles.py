@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from assayer.functions import text
 from assayer.functions.quantity import parse_quantity, round_trips
-from assayer.operators import checks, metrics, report
+from assayer.operators import audit, checks, metrics, report
+from assayer.operators import events as ev
 from assayer.operators.matching import match_kth_occurrence
+from assayer.sources import recipes
 
 LINE_ORDER = [
     "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag",
@@ -228,8 +230,8 @@ def report_grouping_sets(spark, sf_dir):
 """)
 def bigram_overlap(spark, sf_dir):
     """Documents that hold at least half of a benchmark item's bigrams, copies counted."""
-    docs = report.bigram_counts(read(spark, sf_dir, "documents"), "doc_id", "text")
     items = report.bigram_counts(read(spark, sf_dir, "benchmark"), "item_id", "text")
+    docs = report.bigram_counts(read(spark, sf_dir, "documents"), "doc_id", "text", items.select("gram").distinct())
     return report.bigram_matches(docs, items, "doc_id", "item_id", least_recall=0.5)
 
 
@@ -418,22 +420,49 @@ def json_props(spark, sf_dir):
 
 
 @query("""
-    SELECT p_partkey, 'size' AS dimension, CAST(p_size % 5 + 1 AS BIGINT) AS score FROM part
-    UNION ALL SELECT p_partkey, 'name', CAST(length(p_name) % 5 + 1 AS BIGINT) FROM part
+    SELECT p_partkey AS recipe_id, 'size' AS dimension, CAST(p_size % 5 + 1 AS INTEGER) AS score, 'v1' AS rubric_version FROM part
+    UNION ALL SELECT p_partkey, 'name', CAST(length(p_name) % 5 + 1 AS INTEGER), 'v1' FROM part
 """)
 def unpivot_ratings(spark, sf_dir):
     """Score columns to a row for each dimension."""
-    wide = read(spark, sf_dir, "part").select(
-        "p_partkey", (F.col("p_size") % 5 + 1).cast("long").alias("size"), (F.length("p_name") % 5 + 1).cast("long").alias("name")
-    )
-    return wide.unpivot("p_partkey", ["size", "name"], "dimension", "score")
+    size, name = (F.col("p_size") % 5 + 1).cast("string").alias("size"), (F.length("p_name") % 5 + 1).cast("string").alias("name")
+    return recipes.ratings(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("recipe_id"), size, name), ["size", "name"], "v1")
 
 
 @query("""
-    SELECT vec_id, position, CAST(value AS DOUBLE) AS value FROM (SELECT vec_id, unnest(embedding) AS value, generate_subscripts(embedding, 1) AS position FROM embeddings)
+    SELECT p_partkey AS recipe_id, CAST(position AS INTEGER) AS position, word
+    FROM (SELECT p_partkey, unnest(w) AS word, generate_subscripts(w, 1) AS position FROM (SELECT p_partkey, string_split(p_name || ' ' || p_type, ' ') AS w FROM part))
 """)
 def posexplode_arrays(spark, sf_dir):
-    """Array elements with their 1-based position."""
-    return read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding")).select(
-        "vec_id", (F.col("pos") + 1).cast("long").alias("position"), F.col("col").cast("double").alias("value")
-    )
+    """Elements of JSON lists with their 1-based position."""
+    cells = F.to_json(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("cells")
+    return recipes.listed(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("recipe_id"), cells), "cells", "word")
+
+
+@query("""
+    SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS cost FROM events
+""")
+def reported_costs(spark, sf_dir):
+    """The cost in usage objects: as cost, as total_cost beside a truth value, or as the bare number."""
+    k, i = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").cast("string"), F.col("event_id") % 3
+    usage = F.when(i == 0, F.concat(F.lit('{"cost": '), k, F.lit("}"))).when(i == 1, F.concat(F.lit('{"cost": true, "total_cost": '), k, F.lit("}"))).otherwise(k)
+    return read(spark, sf_dir, "events").select("event_id", ev.reported_cost(F.try_parse_json(usage)).cast("double").alias("cost"))
+
+
+@query("""
+    SELECT count(DISTINCT l_orderkey) AS recipes, count(*) AS ingredients, count(*) AS identity_matches, count(*) AS populated_quantities,
+           count(*) FILTER (nth % 10 <> 0) AS quantity_matches,
+           (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) < 10)) AS perfect_recipes
+    FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey) AS nth FROM lineitem)
+""")
+def reference_audit(spark, sf_dir):
+    """The audit of orders as recipes; each tenth line's exact text has another quantity than its own field."""
+    lines = reference_lines(spark, sf_dir)
+    amount = lambda n: F.concat(n.cast("string"), F.lit(" cups"))
+    name = F.concat(F.lit("spice "), F.translate(F.conv(F.col("position").cast("string"), 10, 2), "01", "ab"))
+    said = amount(F.when(F.col("position") % 10 == 0, F.col("amount") + 1).otherwise(F.col("amount")))
+    records = lines.select(
+        F.col("recipe").alias("recipe_id"), "position", F.concat(said, F.lit(" "), name).alias("text_exact"), amount(F.col("amount")).alias("quantity_text_exact"),
+        name.alias("ingredient_key"), name.alias("ingredient_text"), "tier", "optional", F.lit(False).alias("subrecipe_reference"), "section",
+    )
+    return audit.summary(audit.audited(records))

@@ -130,23 +130,29 @@ def search_costs(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", tokens.alias("tokens"), cost.cast("double").alias("cost"))
 
 
-def _starts_and_ends(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    started = e.filter("event_id % 2 = 0").select((F.col("event_id") / 2).cast("long").alias("attempt"), "user_id", "ts")
-    ended = e.filter("event_id % 2 = 1").select(((F.col("event_id") - 1) / 2).cast("long").alias("attempt"), F.col("event_type").alias("outcome"), "value")
-    return started, ended
+def _log(spark, sf_dir, ended):
+    """Events as an attempt log: an even id starts an attempt, the odd one after it ends it where ``ended`` says so."""
+    e, i = read(spark, sf_dir, "events"), F.col("event_id")
+    kind = F.when(i % 2 == 0, "attempt_started").when(F.col("event_type") == "error", "attempt_failed").otherwise("attempt_succeeded")
+    return e.filter((i % 2 == 0) | ended).select(
+        F.lit("run").alias("run_file"), F.lit("run").alias("run_id"), kind.alias("event"), F.col("ts").cast("string").alias("recorded_at"),
+        F.floor(i / 2).cast("string").alias("attempt_id"), F.lit(None).cast("string").alias("retry_of_attempt_id"), F.lit(1).alias("attempt_number"),
+        F.struct(F.col("user_id").cast("string").alias("case_id")).alias("case"), F.lit(None).cast("string").alias("case_id"),
+        F.col("event_type").alias("finish_reason"), F.lit(None).cast("string").alias("provider_actual"), F.col("props").alias("output_text"),
+        F.col("value").alias("latency_ms"), F.round("value", 6).cast("string").alias("reported_cost_usd"), F.lit(200).alias("status_code"),
+        F.lit(False).alias("transient"), F.lit(False).alias("will_retry"), F.lit(None).cast("string").alias("error_type"), F.try_parse_json("props").alias("raw"),
+    )
 
 
 @query("""
-    SELECT s.attempt, s.user_id, t.outcome, CAST(round(t.value, 6) AS DOUBLE) AS value
+    SELECT CAST(s.attempt AS VARCHAR) AS attempt_id, CAST(s.user_id AS VARCHAR) AS case_id, t.outcome AS finish_reason, CAST(round(t.value, 6) AS DOUBLE) AS value
     FROM (SELECT event_id // 2 AS attempt, user_id FROM events WHERE event_id % 2 = 0) s
     LEFT JOIN (SELECT event_id // 2 AS attempt, event_type AS outcome, value FROM events WHERE event_id % 2 = 1 AND event_id % 3 <> 0) t USING (attempt)
 """)
 def attempt_join(spark, sf_dir):
     """Starts with their ends; some are still open."""
-    started, ended = _starts_and_ends(spark, sf_dir)
-    ended = ended.filter((F.col("attempt") * 2 + 1) % 3 != 0)
-    return started.join(ended, "attempt", "left").select("attempt", "user_id", "outcome", F.round("value", 6).alias("value"))
+    joined = ev.attempts(_log(spark, sf_dir, F.col("event_id") % 3 != 0))
+    return joined.select("attempt_id", "case_id", "finish_reason", F.round("latency_ms", 6).alias("value"))
 
 
 @query("""
@@ -189,15 +195,24 @@ def budget_stop(spark, sf_dir):
 """)
 def baseline_match(spark, sf_dir):
     """Requested baselines against what ran, with the first reason against each."""
-    e = read(spark, sf_dir, "events")
-    requested = e.select("user_id").distinct().crossJoin(F.broadcast(e.select("event_type").distinct()))
+    e, i = read(spark, sf_dir, "events"), F.col("event_id")
+    user, policy = F.col("user_id").cast("string"), "struct<zdr: boolean>"
+    plan = [F.lit("plain").alias("prompt_id"), F.lit("1").alias("prompt_version")]
+    wanted = [F.lit("maker").alias("provider"), F.struct(F.lit(True).alias("zdr")).cast(policy).alias("policy"), F.struct(F.lit(0).alias("seed")).alias("parameters")]
+    types = F.broadcast(e.select(F.col("event_type").alias("model_id")).distinct())
+    requested = e.select(user.alias("recipe_id")).distinct().crossJoin(types).select("*", *plan, *wanted)
     ran = e.filter("user_id % 3 <> 0").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
-    i = F.col("event_id")
-    state = ev.eligibility(
-        F.when(i % 5 != 0, "attempt_succeeded"), F.when(i % 7 != 0, "stop"), F.when(i % 11 != 0, F.lit("Maker")), F.lit("maker"), i % 13 != 0, i % 17 != 0
-    )
-    joined = requested.join(ran, ["user_id", "event_type"], "left")
-    return joined.withColumn("state", F.when(i.isNull(), "missing").otherwise(state))
+    ran = ran.select(
+        i.alias("attempt_id"), F.when(i % 5 != 0, "attempt_succeeded").otherwise("attempt_failed").alias("event"),
+        F.when(i % 7 != 0, "stop").otherwise("length").alias("finish_reason"), F.when(i % 11 != 0, "Maker").alias("provider_actual"),
+        F.struct(
+            user.alias("recipe_id"), F.col("event_type").alias("model_requested"), F.lit("plain").alias("prompt_template_id"),
+            F.lit("1").alias("prompt_template_version"), F.struct((i % 13 != 0).alias("zdr")).cast(policy).alias("provider_policy"),
+            F.struct(F.when(i % 17 != 0, 0).otherwise(1).alias("seed")).alias("parameters"),
+        ).alias("case"),
+    )
+    found = ev.match_baseline(requested, ran)
+    return found.select(F.col("recipe_id").cast("long").alias("user_id"), F.col("model_id").alias("event_type"), F.col("attempt_id").alias("event_id"), "state")
 
 
 @query("""
