@@ -6,17 +6,18 @@ level after level until one is missing. Errors are one-sided: a level too many w
 
 The filter is independent blocks of ``BLOCK_BITS`` bits. A pair's block is that of its context, or, for a context that
 is frequent, one of as many as it needs; a task builds a block and says what it kept of each context. Blocks are built
-in parallel and put together on the driver. Their number grows with the training tokens, and so does that of the words whose pairs are counted (the most
-frequent ones); ``most_blocks`` (128 MB) and ``most_pair_words`` bound what is broadcast. Below these bounds every word
-and every pair of two such words that occurs twice is held. Beyond, a block too small for its entries raises its own
-least count until its load fits; words and pairs below it are then unseen to the model (never to the base score), and
-``fit`` says how many.
+in parallel and put together on the driver. Their number grows with the training tokens, and so does that of the words
+whose pairs the filter holds (the most frequent ones); ``most_blocks`` (128 MB) and ``most_pair_words`` bound what is
+broadcast, not what the model knows. What the filter has no room for is left to joins: pairs with another word, pairs
+below the least count of a block too small for its entries, and the counts and back-off masses of words beyond
+``hot_words``. Their counts are exact and read on the same scale. Every word counts, and every pair that occurs twice.
 
 The model is Katz back-off over pairs: P(w | v) is the discounted count read for the pair over v's count where the
 filter has the pair, else the mass left over times P(w), over the unigram mass of what v's pairs do not cover. After a
 word without counted pairs, P(w) is used. P(w) has add-0.1 smoothing over the counts read; its sum over all words and
 one unseen is 1, and so is that of P(w | v), but for chance hits of probes. Back-off masses are kept exactly, two
-numbers for each context.
+numbers for each context. Workers score every place as if pairs left to joins were unseen and words beyond
+``hot_words`` unseen and never contexts with pairs; joins on words and on pairs add what that is short of.
 
 The base score needs the exact count of every token of every document. Words among the ``hot_words`` most
 frequent (a fixed number, so their broadcast is bounded) are looked up in the worker; the others, each in few
@@ -28,7 +29,6 @@ null id is held out if the CRC of no bytes (0) says so, which it does. An empty
 
 from __future__ import annotations
 
-import warnings
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -39,10 +39,10 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.staging import staged
+from assayer.llm.staging import small, staged
 
 ADD = 0.1
 END = "\n"  # no word has a line break
@@ -53,12 +53,14 @@ BLOCK_BITS = 1 << 18
 #: Entries a block may hold for each bit.
 LOAD = 1 / 8
 DISCOUNT = 0.5
-#: Training tokens, or distinct ones, for one block; training tokens for one word whose pairs are counted.
+#: Training tokens, or distinct ones, for one block; training tokens for one word whose pairs the filter holds.
 BLOCK_TOKENS = 1 << 16
 BLOCK_WORDS = 1 << 12
+#: Training tokens for one bucket of the pairs that have no block.
+BUCKET_TOKENS = 1 << 20
 WORD_TOKENS = 1 << 10
 FOLDS = 10
-_UNIT, _FOLLOW = 1, 2
+_FOLLOW, _REST = 1, 2
 
 
 def _levels() -> np.ndarray:
@@ -104,6 +106,10 @@ def pair_keys(context: np.ndarray, words: np.ndarray) -> np.ndarray:
     return _mix(_mix(context + np.uint64(2)) ^ (words * np.uint64(0x9E3779B97F4A7C15)))
 
 
+def word_homes(words: np.ndarray, blocks: int) -> np.ndarray:
+    return (_mix(words) % np.uint64(blocks)).astype(np.int64)
+
+
 def pair_homes(context: np.ndarray, words: np.ndarray, spread: np.ndarray, blocks: int) -> np.ndarray:
     """The block of each pair; ``spread`` is how many blocks the pair's context is dealt to."""
     part = (_mix(words) % spread.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
@@ -132,7 +138,7 @@ class Filter:
         self.data = np.zeros(blocks * BLOCK_BITS // 8, np.uint8)
 
     def block_of(self, words: np.ndarray) -> np.ndarray:
-        return (_mix(words) % np.uint64(self.blocks)).astype(np.int64)
+        return word_homes(words, self.blocks)
 
     def has(self, keys: np.ndarray, block: np.ndarray, level: np.ndarray) -> np.ndarray:
         alive = np.arange(keys.size)
@@ -167,8 +173,8 @@ def _fill(block: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> None:
 def build_block(units: np.ndarray, unit_n: np.ndarray, context: np.ndarray, word: np.ndarray, pair_n: np.ndarray, hot: dict[int, int]) -> dict:
     """One block's filter from words and counts, and pairs and counts.
 
-    bits; worth, the counts to be read for the words kept; lost_words and lost_pairs, those that did not fit; and for
-    each context its key, its pairs' number and sum of counts to be read, and the sum of the counts to be read for the
+    bits; worth, the counts to be read for the words kept; lost_words and lost_pairs, the numbers of those that did not fit; left_contexts, left_words and left_n, the
+    pairs that did not; and for each context its key, its pairs' number and sum of counts to be read, and the sum of the counts to be read for the
     words of its pairs, each with ``ADD``.
     """
     entries = np.r_[level_of(unit_n), level_of(pair_n)]
@@ -180,8 +186,10 @@ def build_block(units: np.ndarray, unit_n: np.ndarray, context: np.ndarray, word
     kept = unit_n >= least
     _fill(block, unit_keys(units[kept]), level_of(unit_n[kept]))
     worth = float(WORTH[level_of(unit_n[kept])].sum())
-    lost_words, lost_pairs = int((~kept).sum()), int(((pair_n - 1 < least) & (pair_n > 1)).sum())
+    lost_words = int((~kept).sum())
+    left = (pair_n - 1 < least) & (pair_n > 1)
     kept = pair_n - 1 >= least
+    left_context, left_word, left_n = context[left], word[left], pair_n[left]
     context, word, pair_n = context[kept], word[kept], pair_n[kept]
     _fill(block, pair_keys(context, word), level_of(pair_n))
     which, at = np.unique(context, return_inverse=True)
@@ -191,7 +199,10 @@ def build_block(units: np.ndarray, unit_n: np.ndarray, context: np.ndarray, word
         "bits": block.tobytes(),
         "worth": worth,
         "lost_words": lost_words,
-        "lost_pairs": lost_pairs,
+        "lost_pairs": int(left.sum()),
+        "left_contexts": left_context.view(np.int64),
+        "left_words": left_word.view(np.int64),
+        "left_n": left_n,
         "contexts": which.view(np.int64),
         "pairs": np.bincount(at, minlength=which.size).astype(float),
         "read": np.bincount(at, read, which.size),
@@ -228,88 +239,80 @@ def train_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(each, "token string, c long").groupBy("token").agg(F.sum("c").alias("c")).filter("c > 0")
 
 
-def _pair_blobs(docs: DataFrame, shared, blocks: int) -> DataFrame:
-    """(block, kind, keys, counts) of hot pairs, partial."""
+def _pair_blobs(docs: DataFrame, shared, blocks: int, buckets: int) -> DataFrame:
+    """(block, kind, keys, counts) of pairs, partial; pairs that the filter is not for are in buckets after the blocks."""
 
     def each(batches):
         top = shared.value
         number = {w: i for i, w in enumerate(top["pair_words"])}
-        keys = np.array([word_key(w) for w in top["pair_words"]], np.uint64)
+        keys = top["pair_keys"]
         n = len(keys)
         spread = spread_of(top["pair_counts"])
         start, end = number[START.encode()], number[END.encode()]
         held: list[np.ndarray] = []
-        size = 0
+        rest: list[tuple[np.ndarray, np.ndarray]] = []
+        size = rest_size = 0
 
-        def out():
-            code, count = np.unique(np.concatenate(held), return_counts=True)
-            a, b = code // n, code % n
-            home = pair_homes(keys[a], keys[b], spread[a], blocks)
+        def out(kind, home, pairs, count):
             order = np.argsort(home, kind="stable")
-            a, b, count, home = a[order], b[order], count[order], home[order]
-            cut = np.flatnonzero(np.r_[True, np.diff(home) != 0, True]) if len(a) else np.zeros(1, int)
+            pairs, count, home = pairs[order], count[order], home[order]
+            cut = np.flatnonzero(np.r_[True, np.diff(home) != 0, True]) if home.size else np.zeros(1, int)
             rows = list(zip(cut[:-1], cut[1:], strict=True))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([int(home[i]) for i, _ in rows], pa.int32()),
-                    pa.array([_FOLLOW] * len(rows), pa.int32()),
-                    pa.array([np.c_[a[i:j], b[i:j]].astype(np.uint32).tobytes() for i, j in rows], pa.binary()),
+                    pa.array([kind] * len(rows), pa.int32()),
+                    pa.array([pairs[i:j].tobytes() for i, j in rows], pa.binary()),
                     pa.array([count[i:j].astype(np.uint32).tobytes() for i, j in rows], pa.binary()),
                 ],
                 ["block", "kind", "keys", "counts"],
             )
 
-        for batch in batches:
-            out_of = held_out(batch.column(0).to_pylist())
-            for test, text in zip(out_of, batch.column(1).to_pylist(), strict=True):
-                if test:
+        def hot_out():
+            code, count = np.unique(np.concatenate(held), return_counts=True)
+            a, b = code // n, code % n
+            return out(_FOLLOW, pair_homes(keys[a], keys[b], spread[a], blocks), np.c_[a, b].astype(np.uint32), count)
+
+        def rest_out():
+            a, b = (np.concatenate(x) for x in zip(*rest, strict=True))
+            code, at, count = np.unique(pair_keys(a, b), return_index=True, return_counts=True)
+            home = blocks + (code % np.uint64(buckets)).astype(np.int64)
+            return out(_REST, home, np.c_[a[at], b[at]], count)
+
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                batch = whole.slice(i, 1024)
+                ids_of = _Ids(number)
+                lines = [
+                    [start, *(ids_of[w] for w in words_of(text)), end]
+                    for test, text in zip(held_out(batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True)
+                    if not test
+                ]
+                if not lines:
                     continue
-                ids = np.array([start, *(number.get(w, -1) for w in words_of(text)), end], np.int64)
+                ids = np.fromiter(chain.from_iterable(lines), np.int64)
                 a, b = ids[:-1], ids[1:]
-                both = (a >= 0) & (b >= 0)
+                inside = a != end
+                both = inside & (a < n) & (b < n)
                 held.append(a[both] * n + b[both])
                 size += held[-1].size
+                other = inside & ~both
+                of = np.r_[keys, np.array([word_key(w) for w in list(ids_of)[n:]], np.uint64)]
+                rest.append((of[a[other]], of[b[other]]))
+                rest_size += int(other.sum())
                 if size > 4_000_000:
-                    yield out()
+                    yield hot_out()
                     held, size = [], 0
+                if rest_size > 2_000_000:
+                    yield rest_out()
+                    rest, rest_size = [], 0
         if held:
-            yield out()
+            yield hot_out()
+            yield rest_out() if rest else out(_REST, *(np.empty(0, np.int64),) * 3)
 
     return docs.mapInArrow(each, "block int, kind int, keys binary, counts binary")
 
 
-class _Blocks:
-    """Only the number of blocks, for ``Filter.block_of``."""
-
-    def __init__(self, blocks: int):
-        self.blocks = blocks
-
-
-def _unit_blobs(counts: DataFrame, blocks: int) -> DataFrame:
-    def each(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.array([word_key(w) for w in batch.column(0).cast(pa.binary()).to_pylist()], np.uint64)
-            c = batch.column(1).to_numpy().astype(np.uint64)
-            home = Filter.block_of(_Blocks(blocks), keys)
-            order = np.argsort(home, kind="stable")
-            keys, c, home = keys[order], c[order], home[order]
-            cut = np.flatnonzero(np.r_[True, np.diff(home) != 0, True])
-            rows = list(zip(cut[:-1], cut[1:], strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(home[i]) for i, _ in rows], pa.int32()),
-                    pa.array([_UNIT] * len(rows), pa.int32()),
-                    pa.array([keys[i:j].tobytes() for i, j in rows], pa.binary()),
-                    pa.array([c[i:j].tobytes() for i, j in rows], pa.binary()),
-                ],
-                ["block", "kind", "keys", "counts"],
-            )
-
-    return counts.mapInArrow(each, "block int, kind int, keys binary, counts binary")
-
-
 @dataclass
 class Model:
     """What the scoring needs beside the filter: the smoothed total, and a context's share and back-off weight."""
@@ -320,105 +323,196 @@ class Model:
     whole: np.ndarray
     weight: np.ndarray
     spread: np.ndarray
-    lost_words: int
-    lost_pairs: int
+    short: np.ndarray  # which blocks leave pairs to the join
+
+
+def _worth(column: Column) -> Column:
+    """The count that a count is read as."""
 
+    @F.pandas_udf("double")
+    def read(counts: pd.Series) -> pd.Series:
+        return pd.Series(WORTH[level_of(counts.to_numpy())])
 
-def build_model(docs: DataFrame, counts: DataFrame, shared, blocks: int, vocabulary: int) -> Model:
-    """The whole filter and its model, on the driver; at most ``blocks`` blocks and two numbers a context."""
+    return read(column)
+
+
+def build_blocks(docs: DataFrame, shared, blocks: int, buckets: int) -> DataFrame:
+    """A row for each block, and for each bucket of pairs that have none: what ``build_block`` makes."""
+    cached: dict[str, object] = {}
 
     def each(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         top = shared.value
-        words = np.array([word_key(w) for w in top["pair_words"]], np.uint64)
-        hot = dict(zip(words.tolist(), top["pair_counts"], strict=True))
-
-        def joined(kind: int, column: str, of) -> np.ndarray:
-            return np.frombuffer(b"".join(rows.loc[rows["kind"] == kind, column]), of)
-
-        pairs = joined(_FOLLOW, "keys", np.uint32).reshape(-1, 2).astype(np.int64)
-        code, at = np.unique(pairs[:, 0] * len(words) + pairs[:, 1], return_inverse=True)
-        n = np.bincount(at.reshape(-1), joined(_FOLLOW, "counts", np.uint32), code.size).astype(np.int64)
-        made = build_block(
-            joined(_UNIT, "keys", np.uint64),
-            joined(_UNIT, "counts", np.uint64).astype(np.int64),
-            words[code // len(words)],
-            words[code % len(words)],
-            n,
-            hot,
-        )
-        return pd.DataFrame([{"block": key[0]} | made])
+        words, units = top["pair_keys"], top["hot_keys"]
+        if not cached:
+            cached["counts"] = dict(zip(words.tolist(), top["pair_counts"], strict=True))
+            cached["homes"] = word_homes(units, blocks)
+        none = np.empty(0, np.int64)
+
+        def joined(column: str, of) -> np.ndarray:
+            return np.frombuffer(b"".join(rows[column]), of)
+
+        n = joined("counts", np.uint32)
+        if key[0] < blocks:
+            pairs = joined("keys", np.uint32).reshape(-1, 2).astype(np.int64)
+            code, at = np.unique(pairs[:, 0] * len(words) + pairs[:, 1], return_inverse=True)
+            n = np.bincount(at.reshape(-1), n, code.size).astype(np.int64)
+            mine = cached["homes"] == key[0]
+            made = build_block(units[mine], top["hot_counts"][mine], words[code // len(words)], words[code % len(words)], n, cached["counts"])
+        else:
+            pairs = joined("keys", np.uint64).reshape(-1, 2)
+            code, first, at = np.unique(pair_keys(pairs[:, 0], pairs[:, 1]), return_index=True, return_inverse=True)
+            n = np.bincount(at.reshape(-1), n, code.size).astype(np.int64)
+            pairs, n = pairs[first[n > 1]], n[n > 1]
+            made = {
+                "bits": b"",
+                "lost_pairs": 0,
+                "left_contexts": pairs[:, 0].copy().view(np.int64),
+                "left_words": pairs[:, 1].copy().view(np.int64),
+                "left_n": n,
+            } | dict.fromkeys(("contexts", "pairs", "read", "words"), none)
+        return pd.DataFrame([{"block": key[0]} | {k: v for k, v in made.items() if k not in ("worth", "lost_words")}])
+
+    # A block may have words and no pairs.
+    empty = docs.sparkSession.range(blocks).select(F.col("id").cast("int"), F.lit(_FOLLOW), F.lit(b""), F.lit(b""))
+    return _pair_blobs(docs, shared, blocks, buckets).union(empty).groupBy("block").applyInPandas(
+        each,
+        "block int, bits binary, lost_pairs long, left_contexts array<long>, left_words array<long>, left_n array<long>,"
+        " contexts array<long>, pairs array<double>, read array<double>, words array<double>",
+    )
+
+
+def build_model(docs: DataFrame, counts: DataFrame, shared, blocks: int, total: int, vocabulary: int) -> tuple[Model, DataFrame, DataFrame]:
+    """The filter and its model, on the driver, and what is left to joins.
 
+    At most ``blocks`` blocks, and two numbers for each frequent context. The joins' tables: (token, c, _weight) of
+    each word, log10 of its back-off weight as a context; (_pair, _more) of each pair that the filter doesn't hold,
+    what its log10 probability has beyond that of an unseen pair.
+    """
+    spark, top = docs.sparkSession, shared.value
+    made = staged(build_blocks(docs, shared, blocks, max(16, total // BUCKET_TOKENS)), "blocks")
     whole = Filter(blocks)
-    worth, lost_words, lost_pairs = 0.0, 0, 0
+    short = np.zeros(blocks, bool)
     parts = []
-    made = _unit_blobs(counts, blocks).union(_pair_blobs(docs, shared, blocks)).groupBy("block").applyInPandas(
-        each,
-        "block int, bits binary, worth double, lost_words long, lost_pairs long, contexts array<long>, pairs array<double>,"
-        " read array<double>, words array<double>",
-    )
-    for r in staged(made, "blocks").toLocalIterator():
+    for r in made.filter(F.col("block") < blocks).select("block", "bits", "lost_pairs", "contexts", "pairs", "read", "words").toLocalIterator():
         at = r["block"] * BLOCK_BITS // 8
         whole.data[at : at + BLOCK_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
-        worth, lost_words, lost_pairs = worth + r["worth"], lost_words + r["lost_words"], lost_pairs + r["lost_pairs"]
+        short[r["block"]] = r["lost_pairs"] > 0
         parts.append((np.array(r["contexts"], np.int64).view(np.uint64), *(np.array(r[c], float) for c in ("pairs", "read", "words"))))
-    found, pairs, read, words = (np.concatenate([np.empty(0, t), *(p[i] for p in parts)]) for i, t in enumerate((np.uint64, float, float, float)))
+    mass = counts.select(F.sum(_worth(F.col("c")))).first()[0] or 0.0
+    mass += ADD * (vocabulary + 1)
+
+    # Counts of frequent words and of the start, by key; those of other words are joined.
+    own = dict(zip(top["hot_keys"].tolist(), top["hot_counts"].tolist(), strict=True))
+    own |= dict(zip(top["pair_keys"].tolist(), top["pair_counts"], strict=True))
+    keys = np.fromiter(own, np.uint64, len(own))
+    often = pd.DataFrame({"_key": keys.view(np.int64), "_own": np.fromiter(own.values(), np.int64, len(own))})
+    often = F.broadcast(spark.createDataFrame(often, "_key long, _own long"))
+    keyed = counts.select(F.xxhash64("token").alias("_key"), F.col("c").alias("_own")).join(often, "_key", "left_anti")
+    left = made.select(F.explode(F.arrays_zip("left_contexts", "left_words", "left_n")).alias("p")).select(
+        F.col("p.left_contexts").alias("_context"), F.col("p.left_words").alias("_key"), F.col("p.left_n").alias("_n")
+    )
+    known = left.join(often, "_key").unionByName(left.join(often, "_key", "left_anti").join(keyed, "_key"))
+    known = staged(known.select("_context", "_key", _worth(F.col("_n")).alias("_read"), _worth(F.col("_own")).alias("_alone")), "pairs")
+    sums = known.groupBy("_context").agg(
+        F.count("*").cast("double").alias("_pairs"), F.sum("_read").alias("_read"), F.sum(F.col("_alone") + ADD).alias("_words")
+    )
+    sums = staged(sums.withColumnRenamed("_context", "_key"), "contexts")
+    more = sums.join(often, "_key", "left_semi").toPandas()
+    parts.append((more["_key"].to_numpy(np.int64).view(np.uint64), *(more[c].to_numpy(float) for c in ("_pairs", "_read", "_words"))))
+
+    found, pairs, read, words = (np.concatenate([p[i] for p in parts]) for i in range(4))
     keys, at = np.unique(found, return_inverse=True)
     pairs, read, words = (np.bincount(at.reshape(-1), x, keys.size) for x in (pairs, read, words))
-    top = shared.value
-    own = {word_key(w): c for w, c in zip(top["pair_words"], top["pair_counts"], strict=True)}
-    own = np.array([own[int(k)] for k in keys], float)
+    mine = np.array([own[int(k)] for k in keys], float)
     # Counts read may add up to more than the context's own.
-    of = np.maximum(own, read)
-    mass = worth + ADD * (vocabulary + 1)
+    of = np.maximum(mine, read)
     weight = (1 - (read - DISCOUNT * pairs) / np.maximum(1.0, of)) / np.maximum(1 - words / mass, 1e-9)
-    return Model(whole, mass, keys, of, weight, spread_of(own), lost_words, lost_pairs)
+    model = Model(whole, mass, keys, of, weight, spread_of(mine), short)
+
+    most = F.greatest(F.col("_own").cast("double"), "_read")
+    rare = sums.join(keyed, "_key").select(
+        "_key",
+        most.alias("_whole"),
+        F.log10((1 - (F.col("_read") - DISCOUNT * F.col("_pairs")) / most) / F.greatest(1 - F.col("_words") / mass, F.lit(1e-9))).alias("_weight"),
+    )
+    rare = staged(rare, "rare")
+    frequent = pd.DataFrame({"_key": keys.view(np.int64), "_whole": of, "_weight": np.log10(weight)})
+    frequent = F.broadcast(spark.createDataFrame(frequent, "_key long, _whole double, _weight double").withColumnRenamed("_key", "_context"))
+    context = rare.withColumnRenamed("_key", "_context")
+    known = known.join(frequent, "_context").unionByName(known.join(often, known["_context"] == often["_key"], "left_anti").join(context, "_context"))
+    seen = F.log10(F.least(F.lit(1.0), (F.col("_read") - DISCOUNT) / F.col("_whole")))
+    pairs = known.select(
+        _pair_key(F.col("_context"), F.col("_key")).alias("_pair"),
+        (seen - F.col("_weight") - F.log10((F.col("_alone") + ADD) / mass)).alias("_more"),
+    )
+    weights = counts.withColumn("_key", F.xxhash64("token")).join(rare.select("_key", "_weight"), "_key", "left")
+    return model, weights.select("token", "c", F.coalesce("_weight", F.lit(0.0)).alias("_weight")), staged(pairs, "pairs")
+
+
+def _pair_key(context: Column, word: Column) -> Column:
+    @F.pandas_udf("long")
+    def key(context: pd.Series, word: pd.Series) -> pd.Series:
+        return pd.Series(pair_keys(context.to_numpy().view(np.uint64), word.to_numpy().view(np.uint64)).view(np.int64))
+
+    return key(context, word)
 
 
 class Scorer:
-    """Scores of documents. A task probes its frequent words once, and a batch's other words and pairs once each."""
+    """Scores of documents but for what is left to joins. A task probes its frequent words once, a batch's pairs once each."""
 
     def __init__(self, top: dict, model: Model):
         self.model = model
         words = dict.fromkeys([*top["hot_words"], START.encode(), END.encode()])
         self.index = {w: i for i, w in enumerate(words)}
         self.keys = np.fromiter(map(word_key, words), np.uint64, len(words))
-        self.alone = self.unit(self.keys)
-        self.counted = np.isin(self.keys, np.array([word_key(w) for w in top["pair_words"]], np.uint64))
+        hot = self.keys[: len(top["hot_words"])]
+        level = model.bloom.levels(unit_keys(hot), model.bloom.block_of(hot))
+        level = np.where(level > 0, level, level_of(top["hot_counts"]))  # of a block that had no room for it
+        self.alone = np.full(len(words), ADD / model.mass)
+        self.alone[self.index[END.encode()]] = (WORTH[level_of(top["ends"])] + ADD) / model.mass
+        self.alone[: hot.size] = (WORTH[level] + ADD) / model.mass
+        self.counted = np.isin(self.keys, top["pair_keys"])
         contexts = model.contexts
         self.place = np.minimum(np.searchsorted(contexts, self.keys), max(0, contexts.size - 1))
         self.leads = contexts[self.place] == self.keys if contexts.size else np.zeros(len(words), bool)
 
-    def unit(self, words: np.ndarray) -> np.ndarray:
-        level = self.model.bloom.levels(unit_keys(words), self.model.bloom.block_of(words))
-        return (WORTH[level] + ADD) / self.model.mass
-
     def known(self, spelled: list[bytes]) -> np.ndarray:
         """Each word's place among the frequent ones, or -1."""
         get = self.index.get
         return np.fromiter((get(w, -1) for w in spelled), np.int64, len(spelled))
 
-    def log10(self, spelled: list[bytes], words: np.ndarray, contexts: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
-        """log10 P(word | context) of each place; both index ``spelled``, the batch's words."""
+    def log10(self, spelled: list[bytes], words: np.ndarray, contexts: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, ...]:
+        """log10 P(word | context) of each place, the places whose pairs are left to the join, and the keys of these pairs.
+
+        words and contexts index ``spelled``, the batch's words.
+        """
         m = self.model
-        known = self.known(spelled) if known is None else known
         often = known >= 0
-        alone, weight, leads, counted = np.empty(known.size), np.ones(known.size), np.zeros(known.size, bool), np.zeros(known.size, bool)
-        alone[often] = self.alone[known[often]]
-        alone[~often] = self.unit(np.array([word_key(spelled[i]) for i in np.flatnonzero(~often)], np.uint64))
+        keys, alone = np.empty(known.size, np.uint64), np.full(known.size, ADD / m.mass)
+        weight, leads, counted = np.ones(known.size), np.ones(known.size, bool), np.zeros(known.size, bool)
+        keys[often], alone[often] = self.keys[known[often]], self.alone[known[often]]
+        keys[~often] = np.array([word_key(spelled[i]) for i in np.flatnonzero(~often)], np.uint64)
         leads[often], counted[often] = self.leads[known[often]], self.counted[known[often]]
-        weight[leads] = m.weight[self.place[known[leads]]]
+        heads = leads & often
+        weight[heads] = m.weight[self.place[known[heads]]]
         p = weight[contexts] * alone[words]
-        both = np.flatnonzero(leads[contexts] & counted[words])
+        held = counted[contexts] & counted[words]
+        left = leads[contexts] & ~held
+        both = np.flatnonzero(leads[contexts] & held)
         code, at = np.unique(contexts[both] * known.size + words[both], return_inverse=True)
-        before, after = known[code // known.size], known[code % known.size]
-        a, b, place = self.keys[before], self.keys[after], self.place[before]
-        level = m.bloom.levels(pair_keys(a, b), pair_homes(a, b, m.spread[place], m.bloom.blocks) if code.size else place)
+        at = at.reshape(-1)
+        before, after = code // known.size, code % known.size
+        a, b, place = keys[before], keys[after], self.place[known[before]]
+        home = pair_homes(a, b, m.spread[place], m.bloom.blocks) if code.size else place
+        level = m.bloom.levels(pair_keys(a, b), home)
         share = np.zeros(code.size)
         hit = level > 0
         share[hit] = (WORTH[level[hit]] - DISCOUNT) / m.whole[place[hit]]
-        share = share[at.reshape(-1)]
+        left[both] = (~hit & m.short[home])[at]
+        share = share[at]
         p[both] = np.where(share > 0, np.minimum(share, 1.0), p[both])
-        return np.log10(p)
+        left = np.flatnonzero(left)
+        return np.log10(p), left, pair_keys(keys[contexts[left]], keys[words[left]])
 
 
 def _frequent(counts: DataFrame, most: int, vocabulary: int) -> dict[str, int]:
@@ -454,23 +548,25 @@ def fit(
     vocabulary: int,
     most_pair_words: int,
     most_blocks: int,
-) -> tuple[Model, dict]:
-    """The model of the rows not held out, and the words that workers look up. Says what did not fit."""
+) -> tuple[Model, dict, DataFrame, DataFrame]:
+    """The model of the rows not held out, the words that workers look up, and the tables of ``build_model`` for the rest."""
     pair_words = min(most_pair_words, max(1024, total // WORD_TOKENS))
-    blocks = min(most_blocks, max(16, total // BLOCK_TOKENS, vocabulary // BLOCK_WORDS))
+    blocks = min(most_blocks, max(16, total // BLOCK_TOKENS, len(hot) // BLOCK_WORDS))
     ends = hot.get(END) or counts.filter(F.col("token") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     first = sorted(hot.items(), key=lambda x: (-x[1], x[0]))[:pair_words]
     pairs = {w.encode(): c for w, c in first} | {START.encode(): max(1, ends), END.encode(): max(1, ends)}
     top = {
         "hot_words": [w.encode() for w in hot],
+        "hot_keys": np.array([word_key(w.encode()) for w in hot], np.uint64),
         "hot_counts": np.array(list(hot.values()), np.int64),
         "pair_words": list(pairs),
+        "pair_keys": np.array([word_key(w) for w in pairs], np.uint64),
         "pair_counts": list(pairs.values()),
+        "ends": ends,
     }
-    model = build_model(rows, counts, rows.sparkSession.sparkContext.broadcast(top), blocks, vocabulary)
-    if model.lost_words or model.lost_pairs:
-        warnings.warn(f"{blocks} blocks leave {model.lost_words} words and {model.lost_pairs} pairs to smoothing", stacklevel=3)
-    return model, top
+    shared = rows.sparkSession.sparkContext.broadcast(top)
+    model, words, rest = build_model(rows, counts, shared, blocks, total, vocabulary)
+    return model, top, words, rest
 
 
 def score(
@@ -488,7 +584,7 @@ def score(
     counts = staged(train_counts(rows), "counts")
     total, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     hot = _frequent(counts, hot_words, vocabulary)
-    model, top = fit(rows, counts, hot, total, vocabulary, most_pair_words, most_blocks)
+    model, top, weights, pairs = fit(rows, counts, hot, total, vocabulary, most_pair_words, most_blocks)
     # hot_words and most_pair_words bound this broadcast, most_blocks the next.
     shared = spark.sparkContext.broadcast(top)
     bloom = spark.sparkContext.broadcast(model)
@@ -522,7 +618,9 @@ def score(
             base = np.where(known >= 0, base_of[known], np.nan)
             hot = ~np.isnan(base)
             begin = stop - size
-            sums = np.add.reduceat(scorer.log10(spelled, words, contexts, known), begin)
+            logs, places, left_pairs = scorer.log10(spelled, words, contexts, known)
+            sums = np.add.reduceat(logs, begin)
+            left_at = pa.array(np.searchsorted(places, np.r_[begin, stop[-1]]), pa.int32())
             hot_base = np.add.reduceat(np.where(hot, base, 0.0)[words], begin)
             hot_n = np.add.reduceat(hot[words].astype(np.int64), begin)
             # The other words of each document, with how often it has them.
@@ -545,8 +643,9 @@ def score(
                     pa.array(sums),
                     pa.ListArray.from_arrays(offsets, names),
                     pa.ListArray.from_arrays(offsets, pa.array(often, pa.int32())),
+                    pa.ListArray.from_arrays(left_at, pa.array(left_pairs.view(np.int64))),
                 ],
-                ["_row", "_id", "held_out", "n_tokens", "_hot_known", "_hot_base", "score", "_rare", "_rare_n"],
+                ["_row", "_id", "held_out", "n_tokens", "_hot_known", "_hot_base", "_hot_score", "_rare", "_rare_n", "_left"],
             )
 
         for batch in batches:
@@ -558,28 +657,33 @@ def score(
     scored = staged(
         rows.mapInArrow(
             each,
-            f"_row long, _id {kind}, held_out boolean, n_tokens long, _hot_known long, _hot_base double, score double,"
-            " _rare array<string>, _rare_n array<int>",
+            f"_row long, _id {kind}, held_out boolean, n_tokens long, _hot_known long, _hot_base double, _hot_score double,"
+            " _rare array<string>, _rare_n array<int>, _left array<long>",
         ),
         "scored",
     )
     rare = scored.select("_row", F.explode(F.arrays_zip("_rare", "_rare_n")).alias("r")).select(
         "_row", F.col("r._rare").alias("token"), F.col("r._rare_n").alias("k")
     )
-    rest = counts if vocabulary > len(hot) else counts.filter("false")
+    rest = weights if vocabulary > len(hot) else weights.filter("false")
     mass = float(total + ADD * (vocabulary + 1))
+    # Over what an unseen token gets, which all rare tokens are given above; but the model always knows the end.
+    rest = rest.select(
+        "token",
+        (F.log10((F.col("c") + ADD) / mass) - float(np.log10(unknown))).alias("_base"),
+        F.when(F.col("token") != END, F.log10((_worth(F.col("c")) + ADD) / ADD) + F.col("_weight")).otherwise(0.0).alias("_model"),
+    )
+    seen = rare.join(rest, "token").select("_row", "k", (F.col("k") * F.col("_base")).alias("b"), (F.col("k") * F.col("_model")).alias("m"))
+    met = scored.select("_row", F.explode("_left").alias("_pair")).join(small(pairs), "_pair")
+    met = met.select("_row", F.lit(0).alias("k"), F.lit(0.0).alias("b"), F.col("_more").alias("m"))
     seen = (
-        rare.join(rest, "token")
+        seen.union(met)
         .groupBy("_row")
-        .agg(
-            F.sum("k").alias("_rare_known"),
-            # Over what an unseen token gets, which all rare tokens are given below.
-            F.sum(F.col("k") * (F.log10((F.col("c") + ADD) / mass) - float(np.log10(unknown)))).alias("_rare_base"),
-        )
+        .agg(F.sum("k").alias("_rare_known"), F.sum("b").alias("_rare_base"), F.sum("m").alias("_rare_score"))
     )
     zero = F.lit(0)
     return (
-        scored.drop("_rare", "_rare_n")
+        scored.drop("_rare", "_rare_n", "_left")
         .join(seen, "_row", "left")
         .select(
             F.col("_id").alias(id_col),
@@ -592,6 +696,6 @@ def score(
                 + F.coalesce("_rare_base", F.lit(0.0))
                 + (F.col("n_tokens") - F.col("_hot_known")) * float(np.log10(unknown))
             ).alias("base_score"),
-            "score",
+            (F.col("_hot_score") + F.coalesce("_rare_score", F.lit(0.0))).alias("score"),
         )
     )

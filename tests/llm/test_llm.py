@@ -608,6 +608,34 @@ def test_lm_score_is_that_of_the_exact_model(spark):
     assert np.mean(np.array(off) < 1e-6) > 0.95
 
 
+@pytest.mark.parametrize("most", [{"most_pair_words": 8}, {"hot_words": 8, "most_pair_words": 4}])
+def test_lm_bounds_of_the_broadcast_lose_no_word_or_pair(spark, most):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    texts = {i: " ".join(rng.choices(words, weights=range(1, 301), k=rng.randrange(0, 90))) for i in range(700)}
+    got = _by_id(lm_score.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), **most))
+    lines = {i: t.encode().split() for i, t in texts.items()}
+    p, unit, after = _katz(lines, {i: got[i].held_out for i in texts})
+    off = [abs(got[i].score - sum(np.log10(p(w, v)) for v, w in zip([b"\r", *ws], [*ws, b"\n"], strict=True))) for i, ws in lines.items()]
+    assert np.mean(np.array(off) < 1e-6) > 0.95
+
+
+def test_lm_block_leaves_pairs_without_room_to_the_join():
+    rng = np.random.default_rng(8)
+    context, word = (rng.integers(1, 1 << 63, 12_000, dtype=np.uint64) for _ in range(2))
+    n = np.arange(12_000) % 6 + 1
+    none = np.empty(0, np.uint64)
+    made = lm_score.build_block(none, np.empty(0, np.int64), context, word, n, dict.fromkeys(word.tolist(), 9))
+    bloom = lm_score.Filter(1)
+    bloom.data[:] = np.frombuffer(made["bits"], np.uint8)
+    pairs = zip(made["left_contexts"].view(np.uint64).tolist(), made["left_words"].view(np.uint64).tolist(), strict=True)
+    left = dict(zip(pairs, made["left_n"].tolist(), strict=True))
+    level = bloom.levels(lm_score.pair_keys(context, word), np.zeros(12_000, np.int64))
+    assert 0 < made["lost_pairs"] == len(left) < (n > 1).sum()
+    for v, w, k, found in zip(context.tolist(), word.tolist(), n.tolist(), level, strict=True):
+        assert left[v, w] == k if (v, w) in left else k == 1 or found > 0
+
+
 def test_lm_blocks_own_up_to_what_they_lose():
     rng = np.random.default_rng(7)
     words = rng.integers(1, 1 << 63, 20_000, dtype=np.uint64)
