@@ -6,10 +6,12 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from assayer.llm import (
     bpe,
@@ -23,6 +25,7 @@ from assayer.llm import (
     sharding,
     similar,
     simhash,
+    staging,
     token_counts,
     window_dedup,
 )
@@ -528,6 +531,16 @@ def test_window_dedup_across_blocks(spark, monkeypatch):
     assert starts == {(i, k) for i, t in enumerate(texts) for k in range(len(t) - 99)}
 
 
+def test_staged_tables_leave_no_shuffle_files(spark):
+    def files():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for folder in folders for f in Path(folder).rglob("shuffle_*")}
+
+    before, table = files(), spark.range(1000).repartition(3, F.col("id"))
+    assert staging.staged(table, "shuffled").count() == 1000
+    assert not [f for f in files() - before if f.stat().st_size > 2000]
+
+
 # language-model scores
 
 
