@@ -1,8 +1,9 @@
-"""Near copies by shingle similarity: SimHash marks, met through extra signatures, checked on the shingles.
+"""Near copies by shingle similarity: SimHashes met through deletion variants, then extra signatures, checked on shingles.
 
-Two texts are near copies at a Jaccard similarity of ``least`` or more between their sets of word shingles. At 0.8
-their 64-bit SimHashes differ in about 10 bits, far beyond what deletion variants reach. Texts therefore meet in
-an equality join on signatures: each of BANDS keys is made of ROWS minimum hashes, which two texts at 0.8 share
+Two texts are near copies at a Jaccard similarity of ``least`` or more between their sets of word shingles. Texts
+whose 64-bit SimHashes differ in 3 bits or fewer meet in the index of deletion variants (``simhash.links``). At 0.8
+SimHashes differ in about 10 bits, far beyond what these variants reach. Texts therefore also meet in an equality join
+on extra signatures: each of BANDS keys is made of ROWS minimum hashes, which two texts at 0.8 share
 in one key at least with chance 1 - (1 - 0.8^5)^20 = 0.9996. Of those that meet, pairs whose SimHashes differ in
 SCREEN bits or fewer are compared shingle by shingle; only pairs at ``least`` or more are linked.
 
@@ -27,9 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm import simhash
 from assayer.llm.components import components
 from assayer.llm.simhash import keep_least, leaving, majority, shingle_hashes, spread
-from assayer.llm.staging import scratch, small, staged
+from assayer.llm.staging import join_hot, scratch, small, staged
 
 BANDS, ROWS = 20, 5
 #: SimHashes of two texts at 0.8 differ in more bits than this with a chance below 1 in 1,000, short texts included.
@@ -244,8 +246,24 @@ def _checked(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
         return staged(both.select("a", "b", "_x", "_y").mapInArrow(each, "a long, b long"), "links", outlive=True)
 
 
-def links(rows: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b): links between sets of column _fp, enough to join all pairs found at ``least`` or more."""
+def _variants(nodes: DataFrame, most: int) -> DataFrame:
+    """(a, b): pairs of sets that join those whose SimHashes are equal or within reach of deletion variants.
+
+    One set stands for all of its SimHash.
+    """
+    marks = staged(nodes.groupBy("_mark").agg(F.min("_fp").alias("_own"), F.count("*").alias("_n")), "marks")
+    same = join_hot(nodes.select("_mark", "_fp"), marks, "_mark", "_n", nodes.count()).filter("_fp <> _own").select("_own", "_fp")
+    near = staged(simhash.links(marks.select(F.col("_mark").alias("_fp")), most), "near")
+    own = marks.select("_mark", "_own")
+    near = near.join(own.toDF("a", "_x"), "a").join(own.toDF("b", "_y"), "b").select("_x", "_y")
+    return same.union(near).toDF("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def links(rows: DataFrame, least: float = 0.8, most: int = 3) -> DataFrame:
+    """(a, b): links between sets of column _fp, enough to join all pairs found at ``least`` or more.
+
+    ``most`` is how many bits deletion variants reach.
+    """
     size = (F.octet_length("_set") / 4).cast("int").alias("_size")
     nodes = staged(rows.select("_fp", "_mark", "_keys", size).dropDuplicates(["_fp"]), "nodes")
 
@@ -255,7 +273,7 @@ def links(rows: DataFrame, least: float = 0.8) -> DataFrame:
 
     met = staged(_met(nodes.withColumn("_root", F.col("_fp")), Group.first, least), "met")
     crowded = small(staged(met.filter("b IS NULL").select(F.col("a").alias("_key")), "crowded"))
-    found = _checked(met.filter("b IS NOT NULL"), rows, least)
+    found = _checked(met.filter("b IS NOT NULL").union(_variants(nodes, most)).distinct(), rows, least)
     found = found.union(_checked(_met(rooted(nodes, found), Group.second, least, crowded=crowded), rows, least))
     known = staged(rooted(nodes, found), "rooted")
     left = staged(_met(known, Group.left, least, crowded=crowded).select(F.col("a").alias("_fp")), "left")

@@ -531,6 +531,18 @@ def test_window_dedup_across_blocks(spark, monkeypatch):
     assert starts == {(i, k) for i, t in enumerate(texts) for k in range(len(t) - 99)}
 
 
+def test_near_copies_meet_by_deletion_variants_alone(spark):
+    """Without extra signatures: a word changed near the end of a long text, and a text with the words in another order."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "end"]), " ".join(rng.sample(words, 4000))]
+    rows = similar.signed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", 5)
+    rows = staging.staged(rows.withColumn("_keys", F.array().cast("array<long>")), "unsigned")
+    name = {r["_id"]: r["_fp"] for r in rows.collect()}
+    assert {frozenset(r) for r in similar.links(rows).collect()} == {frozenset((name[0], name[1]))}
+    assert similar.links(rows, least=0.9999).count() == 0
+
+
 def test_staged_tables_leave_no_shuffle_files(spark):
     def files():
         folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
