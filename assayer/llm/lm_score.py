@@ -324,6 +324,7 @@ class Model:
     weight: np.ndarray
     spread: np.ndarray
     short: np.ndarray  # which blocks leave pairs to the join
+    left: Filter  # has all pairs left to the join, and some others
 
 
 def _worth(column: Column) -> Column:
@@ -381,6 +382,22 @@ def build_blocks(docs: DataFrame, shared, blocks: int, buckets: int) -> DataFram
     )
 
 
+def left_filter(pairs: DataFrame, most: int) -> Filter:
+    """At most ``most`` blocks with all pairs of column _pair; the fuller, the more others seem to be there too."""
+    whole = Filter(min(most, pairs.count() * 8 // BLOCK_BITS + 1))
+
+    def each(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros(BLOCK_BITS // 8, np.uint8)
+        _fill(block, rows["_pair"].to_numpy(np.int64).view(np.uint64), np.ones(len(rows), np.int64))
+        return pd.DataFrame([{"block": key[0], "bits": block.tobytes()}])
+
+    homes = pairs.select("_pair", F.pmod("_pair", F.lit(whole.blocks)).cast("int").alias("block"))
+    for r in homes.groupBy("block").applyInPandas(each, "block int, bits binary").toLocalIterator():
+        at = r["block"] * BLOCK_BITS // 8
+        whole.data[at : at + BLOCK_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
+    return whole
+
+
 def build_model(docs: DataFrame, counts: DataFrame, shared, blocks: int, total: int, vocabulary: int) -> tuple[Model, DataFrame, DataFrame]:
     """The filter and its model, on the driver, and what is left to joins.
 
@@ -427,8 +444,6 @@ def build_model(docs: DataFrame, counts: DataFrame, shared, blocks: int, total:
     # Counts read may add up to more than the context's own.
     of = np.maximum(mine, read)
     weight = (1 - (read - DISCOUNT * pairs) / np.maximum(1.0, of)) / np.maximum(1 - words / mass, 1e-9)
-    model = Model(whole, mass, keys, of, weight, spread_of(mine), short)
-
     most = F.greatest(F.col("_own").cast("double"), "_read")
     rare = sums.join(keyed, "_key").select(
         "_key",
@@ -446,7 +461,9 @@ def build_model(docs: DataFrame, counts: DataFrame, shared, blocks: int, total:
         (seen - F.col("_weight") - F.log10((F.col("_alone") + ADD) / mass)).alias("_more"),
     )
     weights = counts.withColumn("_key", F.xxhash64("token")).join(rare.select("_key", "_weight"), "_key", "left")
-    return model, weights.select("token", "c", F.coalesce("_weight", F.lit(0.0)).alias("_weight")), staged(pairs, "pairs")
+    pairs = staged(pairs, "pairs")
+    model = Model(whole, mass, keys, of, weight, spread_of(mine), short, left_filter(pairs, max(1, blocks // 4)))
+    return model, weights.select("token", "c", F.coalesce("_weight", F.lit(0.0)).alias("_weight")), pairs
 
 
 def _pair_key(context: Column, word: Column) -> Column:
@@ -482,7 +499,7 @@ class Scorer:
         return np.fromiter((get(w, -1) for w in spelled), np.int64, len(spelled))
 
     def log10(self, spelled: list[bytes], words: np.ndarray, contexts: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, ...]:
-        """log10 P(word | context) of each place, the places whose pairs are left to the join, and the keys of these pairs.
+        """log10 P(word | context) of each place, the places whose pairs the join may have, and the keys of these pairs.
 
         words and contexts index ``spelled``, the batch's words.
         """
@@ -512,7 +529,9 @@ class Scorer:
         share = share[at]
         p[both] = np.where(share > 0, np.minimum(share, 1.0), p[both])
         left = np.flatnonzero(left)
-        return np.log10(p), left, pair_keys(keys[contexts[left]], keys[words[left]])
+        pairs = pair_keys(keys[contexts[left]], keys[words[left]])
+        some = m.left.has(pairs, pairs.view(np.int64) % m.left.blocks, np.ones(pairs.size, np.int64))
+        return np.log10(p), left[some], pairs[some]
 
 
 def _frequent(counts: DataFrame, most: int, vocabulary: int) -> dict[str, int]:
