@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.staging import small, staged
+from assayer.llm.staging import scratch, small, staged
 
 ADD = 0.1
 END = "\n"  # no word has a line break
@@ -392,7 +392,7 @@ def left_filter(pairs: DataFrame, most: int) -> Filter:
         return pd.DataFrame([{"block": key[0], "bits": block.tobytes()}])
 
     homes = pairs.select("_pair", F.pmod("_pair", F.lit(whole.blocks)).cast("int").alias("block"))
-    for r in homes.groupBy("block").applyInPandas(each, "block int, bits binary").toLocalIterator():
+    for r in staged(homes.groupBy("block").applyInPandas(each, "block int, bits binary"), "left").toLocalIterator():
         at = r["block"] * BLOCK_BITS // 8
         whole.data[at : at + BLOCK_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
     return whole
@@ -403,7 +403,8 @@ def build_model(docs: DataFrame, counts: DataFrame, shared, blocks: int, total:
 
     At most ``blocks`` blocks, and two numbers for each frequent context. The joins' tables: (token, c, _weight) of
     each word, log10 of its back-off weight as a context; (_pair, _more) of each pair that the filter doesn't hold,
-    what its log10 probability has beyond that of an unseen pair.
+    what its log10 probability has beyond that of an unseen pair. Of what is staged, only what these read outlives
+    the caller's ``scratch``.
     """
     spark, top = docs.sparkSession, shared.value
     made = staged(build_blocks(docs, shared, blocks, max(16, total // BUCKET_TOKENS)), "blocks")
@@ -450,7 +451,7 @@ def build_model(docs: DataFrame, counts: DataFrame, shared, blocks: int, total:
         most.alias("_whole"),
         F.log10((1 - (F.col("_read") - DISCOUNT * F.col("_pairs")) / most) / F.greatest(1 - F.col("_words") / mass, F.lit(1e-9))).alias("_weight"),
     )
-    rare = staged(rare, "rare")
+    rare = staged(rare, "rare", outlive=True)
     frequent = pd.DataFrame({"_key": keys.view(np.int64), "_whole": of, "_weight": np.log10(weight)})
     frequent = F.broadcast(spark.createDataFrame(frequent, "_key long, _whole double, _weight double").withColumnRenamed("_key", "_context"))
     context = rare.withColumnRenamed("_key", "_context")
@@ -461,7 +462,7 @@ def build_model(docs: DataFrame, counts: DataFrame, shared, blocks: int, total:
         (seen - F.col("_weight") - F.log10((F.col("_alone") + ADD) / mass)).alias("_more"),
     )
     weights = counts.withColumn("_key", F.xxhash64("token")).join(rare.select("_key", "_weight"), "_key", "left")
-    pairs = staged(pairs, "pairs")
+    pairs = staged(pairs, "more", outlive=True)
     model = Model(whole, mass, keys, of, weight, spread_of(mine), short, left_filter(pairs, max(1, blocks // 4)))
     return model, weights.select("token", "c", F.coalesce("_weight", F.lit(0.0)).alias("_weight")), pairs
 
@@ -584,7 +585,8 @@ def fit(
         "ends": ends,
     }
     shared = rows.sparkSession.sparkContext.broadcast(top)
-    model, words, rest = build_model(rows, counts, shared, blocks, total, vocabulary)
+    with scratch():
+        model, words, rest = build_model(rows, counts, shared, blocks, total, vocabulary)
     return model, top, words, rest
 
 

@@ -645,6 +645,26 @@ def test_lm_bounds_of_the_broadcast_lose_no_word_or_pair(spark, most):
     assert np.mean(np.array(off) < 1e-6) > 0.95
 
 
+def test_lm_score_keeps_only_the_tables_and_shuffles_it_still_reads(spark):
+    def files():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for folder in folders for f in Path(folder).rglob("shuffle_*")}
+
+    def tables():
+        return set(Path(staging.shared_root(spark).removeprefix("file:")).glob("assayer/*"))
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    texts = [(i, " ".join(rng.choices(words, weights=range(1, 301), k=rng.randrange(0, 90)))) for i in range(700)]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    before, had = files(), tables()
+    scored = lm_score.score(table, most_pair_words=8)
+    # The lazy result reads words' counts and weights, pairs left to the join and documents.
+    assert sorted(t.name.split("-")[0] for t in tables() - had) == ["counts", "more", "rare", "scored"]
+    assert not [f for f in files() - before if f.stat().st_size > 2000]
+    assert scored.count() == len(texts)
+
+
 def test_lm_block_leaves_pairs_without_room_to_the_join():
     rng = np.random.default_rng(8)
     context, word = (rng.integers(1, 1 << 63, 12_000, dtype=np.uint64) for _ in range(2))
