@@ -5,14 +5,13 @@ Results name places and kinds of issue, never text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import fixed, text
-from assayer.functions.lines import parse_lines
 from assayer.functions.quantity import round_trips
-from assayer.operators.matching import match, reference_lists
-from assayer.operators.responses import CANDIDATE, collected
+from assayer.operators.matching import OF_CANDIDATE, OF_REFERENCE, match, named
+from assayer.sources.shared import once
 
 
 def audited(records: DataFrame) -> DataFrame:
@@ -20,31 +19,29 @@ def audited(records: DataFrame) -> DataFrame:
 
     records: recipe_id, position, text_exact and the reference columns.
     """
-    lines = parse_lines(records.select("recipe_id", "position", "text_exact", "quantity_text_exact"), "text_exact")
-    found = lines.filter("phrase IS NOT NULL").withColumns(
-        {
-            "index": F.row_number().over(Window.partitionBy("recipe_id").orderBy("position")) - 1,
-            "quantity_fold": text.folded(F.col("quantity.raw")),
-        }
-    )
-    lists = collected(found.select("recipe_id", "position", *CANDIDATE), "recipe_id", ["position", *CANDIDATE], "index", "candidates")
-    whole = lists.join(reference_lists(records), "recipe_id")
-    pairs = match(whole).select("recipe_id", F.explode("matches").alias("m"), "candidates", "references").filter("m.candidate_index IS NOT NULL")
-    own = pairs.withColumn("_c", F.try_element_at("candidates", F.col("m.candidate_index") + 1))
-    own = own.withColumn("_r", F.filter("references", lambda r: r["position"] == F.col("_c.position"))[0])
-    strict = F.col("m.method").isin(*fixed.STRICT) & F.col("m.reference_position").eqNullSafe(F.col("_c.position"))
-    judged = own.select(
-        "recipe_id", F.col("_c.position").alias("position"), strict.alias("identity_ok"),
-        round_trips(F.col("_c.quantity"), F.col("_r.quantity")).alias("_kept"),
-    )
+    texts = ["text_exact", "ingredient_key", "ingredient_text", "quantity_text_exact"]
+    each = once(records, texts, lambda df: named(df, {"c_": "text_exact"}))
+    # A record's own line and its own reference are one row, so their quantities meet here.
+    parsed = F.col("c_phrase").isNotNull()
     said = text.strip(F.coalesce("quantity_text_exact", F.lit(""))) != ""
-    return (
-        records.select("recipe_id", "position", said.alias("has_quantity"))
-        .join(judged, ["recipe_id", "position"], "left")
-        .select(
-            "recipe_id", "position", F.col("identity_ok").isNotNull().alias("parsed"), F.coalesce("identity_ok", F.lit(False)).alias("identity_ok"),
-            "has_quantity", (F.col("has_quantity") & F.coalesce("_kept", F.lit(False))).alias("quantity_ok"),
-        )
+    kept = said & parsed & round_trips(F.col("c_quantity"), F.col("quantity"))
+    each = each.withColumns({"parsed": parsed, "has_quantity": said, "quantity_ok": kept})
+    c = F.struct("position", *(F.col(f"c_{x}").alias(x) for x in OF_CANDIDATE if x != "index"))
+    r = F.struct("position", *(x for x in OF_REFERENCE if x != "position"), "parsed", "has_quantity", "quantity_ok")
+    lists = each.groupBy("recipe_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("parsed"), c))).alias("candidates"), F.array_sort(F.collect_list(r)).alias("references")
+    )
+    lists = match(lists.withColumn("candidates", F.transform("candidates", lambda c, i: c.withField("index", i))))
+
+    def own(m: Column) -> Column:
+        """Whether a candidate has its own reference for certain."""
+        at = F.try_element_at("candidates", m["candidate_index"] + 1)["position"]
+        return m["method"].isin(*fixed.STRICT) & (m["reference_position"] == at)
+
+    right = F.transform(F.filter("matches", own), lambda m: m["reference_position"])
+    rows = lists.select("recipe_id", right.alias("_right"), F.explode("references").alias("r"))
+    return rows.select(
+        "recipe_id", "r.position", "r.parsed", F.array_contains("_right", F.col("r.position")).alias("identity_ok"), "r.has_quantity", "r.quantity_ok"
     )
 
 

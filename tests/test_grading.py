@@ -182,3 +182,21 @@ def test_grade_responses_grades_every_order(spark, tmp_path):
     spark.createDataFrame(lines, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     assert sorted(r.attempt_id for r in grade_responses(spark, str(tmp_path)).collect()) == keys
+
+
+def test_lines_of_many_recipes_are_parsed_once(spark, monkeypatch):
+    from assayer.operators import audit, matching
+
+    given = []
+
+    def parsed(df, line, prefix=""):
+        given.append(df)
+        return parse_lines(df, line, prefix)
+
+    from assayer.functions.lines import parse_lines
+
+    monkeypatch.setattr(matching, "parse_lines", parsed)
+    rows = [(*ref(f"r{i}", 1, "flour", "1 cup"), "1 cup flour") for i in range(50)] + [(*ref("odd", 1, "salt", None), None)]
+    done = audit.audited(spark.createDataFrame(rows, REF + ", text_exact string")).collect()
+    assert len(done) == 51 and sum(r.parsed and r.identity_ok and r.quantity_ok for r in done) == 50
+    assert [df.count() for df in given] == [4]  # 1 cup flour, flour, salt and null
