@@ -200,3 +200,17 @@ def test_lines_of_many_recipes_are_parsed_once(spark, monkeypatch):
     done = audit.audited(spark.createDataFrame(rows, REF + ", text_exact string")).collect()
     assert len(done) == 51 and sum(r.parsed and r.identity_ok and r.quantity_ok for r in done) == 50
     assert [df.count() for df in given] == [4]  # 1 cup flour, flour, salt and null
+
+
+def test_likeness_scores_a_pair_of_names_once(spark, tmp_path, monkeypatch):
+    from assayer.plans import runs
+
+    given = []
+    real = runs._likenesses
+    monkeypatch.setattr(runs, "_likenesses", lambda pairs: given.append(pairs) or real(pairs))
+    rows = [(i, ["red pin", "red pins", None][i % 3], "b", 1) for i in range(60)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = runs.likeness(spark, str(tmp_path)).collect()
+    assert len(found) == 60 * 59 // 2 and len({(r.p_partkey, r.other) for r in found}) == len(found)
+    assert [df.count() for df in given] == [9]
+    assert all((r.sequence_ratio is None) == (2 in (r.p_partkey % 3, r.other % 3)) for r in found)
