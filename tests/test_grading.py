@@ -214,3 +214,18 @@ def test_likeness_scores_a_pair_of_names_once(spark, tmp_path, monkeypatch):
     assert len(found) == 60 * 59 // 2 and len({(r.p_partkey, r.other) for r in found}) == len(found)
     assert [df.count() for df in given] == [9]
     assert all((r.sequence_ratio is None) == (2 in (r.p_partkey % 3, r.other % 3)) for r in found)
+
+
+def test_match_runs_its_kernel_once_on_what_it_reads(spark):
+    from pyspark.sql import functions as F
+
+    from assayer.operators.matching import match
+
+    names = "array('salt')"
+    r = f"array(named_struct('position', 1, 'ingredient_text', 'salt', 'key', 'salt', 'variants', {names}, 'identity_variants', {names}, 'qualifier', cast(null as string)))"
+    c = "array(named_struct('index', 0, 'raw', 'salt', 'normalized_key', 'salt', 'identity_key', 'salt', 'ambiguous_reason', cast(null as string), 'qualifier', cast(null as string)))"
+    df = spark.range(3).selectExpr("id", f"{c} AS candidates", f"IF(id = 1, NULL, {r}) AS references", "repeat('x', 10) AS unread")
+    found = match(df).select("id", F.explode("matches").alias("m"), F.size("reviews").alias("n"), "unread")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython [found") == 1
+    assert sorted((x.id, x.m.method, x.n) for x in found.collect()) == [(0, "exact_key", 0), (1, "unmatched", 0), (2, "exact_key", 0)]
